@@ -17,6 +17,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokens import round_trip_digests
+
+    return round_trip_digests(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = globals()
     return {k: own[k] for k in sorted((k for k in own if k.startswith("op")), key=lambda k: int(k[2:].split("_")[0]))}
