@@ -29,6 +29,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .binary import read_documents, write
     from .common import shared_path
