@@ -44,10 +44,55 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path)
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .secrets import RULES, listed, scan
+
+    found, _ = scan(_table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    spans = listed(F.col("spans"))
+    return found.select(
+        "doc_id", *[count(r.kind) for r in RULES], F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = globals()
     return {k: own[k] for k in sorted((k for k in own if k.startswith("op")), key=lambda k: int(k[2:].split("_")[0]))}
 
 
+_ASSIGN = r"""(?i)((?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
+
+
+def _op10_sql() -> str:
+    """Spans from the pieces between matches, by running sums of lengths."""
+    kinds = (("assign", 0, _ASSIGN, 2, 12), ("access", 1, "(AKIA[A-Z0-9]+)", 1, 18), ("hex", 2, "([0-9a-f]+)", 1, 16))
+    parts = []
+    for kind, nth, pattern, group, least in kinds:
+        p = pattern.replace("'", "''")
+        parts.append(f"""
+          SELECT doc_id, '{kind}' AS kind, {nth} AS nth, stop - length(m) AS start, stop, v FROM (
+            SELECT doc_id, m, v, sum(length(b) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM (
+              SELECT doc_id, unnest(string_split_regex(text, '{p}')[1:len(ms)]) AS b, unnest(ms) AS m,
+                     unnest(regexp_extract_all(text, '{p}', {group})) AS v, unnest(range(len(ms))) AS i
+              FROM (SELECT doc_id, text, regexp_extract_all(text, '{p}', 0) AS ms FROM t)))
+          WHERE length(v) >= {least}""")
+    return f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        s AS ({" UNION ALL ".join(parts)}),
+        g AS (
+          SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c,
+                 count(*) FILTER (kind = 'hex') AS h,
+                 string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, nth) AS spans
+          FROM s GROUP BY doc_id)
+        SELECT t.doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex,
+               sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM t LEFT JOIN g USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_secrets": _op10_sql()}
