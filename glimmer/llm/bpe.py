@@ -24,6 +24,11 @@ WORDS_KEPT = 250_000
 #: Longest word whose ids are kept, in characters.
 LONGEST_KEPT = 64
 _PAIR_SLOTS = 1 << 20
+#: Slots of the table of merges, and what spreads its keys over them.
+_SLOTS, _SPREAD = 1 << 19, 0x9E3779B1
+_NO_RANK = 1 << 40
+#: Words that are merged side by side.
+_MERGED_AT_ONCE = 8192
 #: Symbols up to which the least rank is looked for without a heap.
 _SHORT = 32
 
@@ -32,11 +37,15 @@ _LOWER_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _BYTE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Characters of whose classes, cases and compositions all Unicode versions agree; other texts are split by the library.
 _PLAIN = r"[\x00-\u02af\u0370-\u0377\u037a-\u037e\u0384-\u052f\u1e00-\u1eff\u2010-\u2027\u2030-\u205e\u20ac]*"
-# The same for texts of ASCII characters, where plain classes do.
-_LOWER_WORDS_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+"
-_BYTE_WORDS_ASCII = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
-)
+# The same for texts of ASCII, and of Latin, characters, where plain classes do.  A word of letters starts with
+# none of the other kinds' first characters, so it can be looked for first.
+_CLASSES = {
+    "ascii": {"L": "A-Za-z", "N": "0-9", "S": r" \t-\r"},
+    "latin": {"L": "A-Za-zªµºÀ-ÖØ-öø-\u02af", "N": "0-9²³¹¼½¾", "S": r" \t-\r\x85\xa0"},
+}
+_LATIN = r"[\x00-\u02af]*"
+_LOWER_PLAIN = r"[{L}]+|'s|'t|'re|'ve|'m|'ll|'d|[{N}]|[^{S}{L}{N}]+"
+_BYTE_PLAIN = r" ?[{L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 
 
 def byte_characters() -> dict[int, str]:
@@ -52,9 +61,12 @@ class Bpe:
     Lower-casing vocabularies with word ends and byte-level ones are told apart
     by the file.  Truncation, padding and special-token templates are not used;
     special tokens' strings in a text become their ids.
+
+    Without ``speculate`` all new words are merged exactly, side by side.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, speculate: bool = True) -> None:
+        self.speculate = speculate
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -63,10 +75,10 @@ class Bpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: t for t, i in (self.vocab | self.special).items()}
-        pattern, ascii_pattern = (
-            (_LOWER_WORDS, _LOWER_WORDS_ASCII) if self.lower else (_BYTE_WORDS, _BYTE_WORDS_ASCII)
-        )
-        self._words, self._ascii_words = regex.compile(pattern).findall, re.compile(ascii_pattern).findall
+        pattern, plain = (_LOWER_WORDS, _LOWER_PLAIN) if self.lower else (_BYTE_WORDS, _BYTE_PLAIN)
+        self._words = regex.compile(pattern).findall
+        self._ascii_words, self._latin_words = (re.compile(plain.format(**c)).findall for c in _CLASSES.values())
+        self._latin = re.compile(_LATIN).fullmatch
         self._plain, self._path, self._library = re.compile(_PLAIN).fullmatch, path, None
         self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self._table = byte_characters()
@@ -87,8 +99,10 @@ class Bpe:
             i = self.vocab[token]
             self._rank_of[i], self._left[i], self._right[i] = rank, self.vocab[a], self.vocab[b]
         keys = np.array([self.vocab[a] * size + self.vocab[b] for a, b in self._ranks], np.int64)
-        order = np.argsort(keys)
-        self._pair_keys, self._pair_ranks = keys[order], np.array(list(self._ranks.values()), np.int64)[order]
+        self._slot_keys, self._slot_ranks = self._hashed(keys, np.array(list(self._ranks.values()), np.int64))
+        self._merged = np.array([self.vocab[a + b] for a, b in self._ranks], np.int64)
+        self._base = np.array([self.vocab[c] for _, c in sorted(self._table.items())], np.int64)
+        self._base_end = np.array([self.vocab[c + self.suffix] for _, c in sorted(self._table.items())], np.int64)
         self._size = size
         self._seen_keys, self._seen_fit = np.full(_PAIR_SLOTS, -1, np.int64), np.zeros(_PAIR_SLOTS, bool)
         self._kept: dict[str, bytes] = {}
@@ -107,7 +121,7 @@ class Bpe:
         if self.lower:
             # one character at a time, without the rule for a sigma that ends a word
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return self._words(text)
+        return self._latin_words(text) if self._latin(text) else self._words(text)
 
     def _odd_words(self, text: str) -> list[str]:
         """The same by the tokenizers library's own normalizer and splitter."""
@@ -121,6 +135,86 @@ class Bpe:
 
     # ---- words to ids
 
+    @staticmethod
+    def _hashed(keys: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An open table of the pairs' ranks; a key stands at its slot or the next free one."""
+        slot_keys, slot_ranks = np.full(_SLOTS, -1, np.int64), np.full(_SLOTS, _NO_RANK, np.int64)
+        for key, rank, at in zip(keys.tolist(), ranks.tolist(), ((keys * _SPREAD) % _SLOTS).tolist(), strict=True):
+            while slot_keys[at] >= 0:
+                at = (at + 1) % _SLOTS
+            slot_keys[at], slot_ranks[at] = key, rank
+        return slot_keys, slot_ranks
+
+    def _rank(self, keys: np.ndarray) -> np.ndarray:
+        """The rank of each pair's merge, _NO_RANK if there is none."""
+        at = (keys * _SPREAD) % _SLOTS
+        there = self._slot_keys[at]
+        out = np.where(there == keys, self._slot_ranks[at], _NO_RANK)
+        more = np.flatnonzero((there != keys) & (there >= 0))
+        while len(more):
+            at[more] = (at[more] + 1) % _SLOTS
+            there = self._slot_keys[at[more]]
+            hit = there == keys[more]
+            out[more[hit]] = self._slot_ranks[at[more[hit]]]
+            more = more[~hit & (there >= 0)]
+        return out
+
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """Exact merging of many short words at once: in each round, every word's best pair."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        base = self._base[np.frombuffer(b"".join(words), np.uint8)]
+        ends = np.cumsum(sizes)
+        last = np.frombuffer(b"".join([w[-1:] for w in words]), np.uint8)
+        base[ends - 1] = self._base_end[last]
+        out: list[bytes] = [b""] * len(words)
+        order = np.argsort(sizes, kind="stable")
+        for block in np.array_split(order, -(-len(words) // _MERGED_AT_ONCE)):  # of about the same length
+            width = int(sizes[block].max())
+            columns = np.arange(width)
+            there = columns < sizes[block][:, None]
+            tokens = np.full((len(block), width + 1), -1, np.int64)
+            tokens[:, :width][there] = base[((ends - sizes)[block][:, None] + columns)[there]]
+            self._merge_block(block, tokens, out)
+        return out
+
+    def _merge_block(self, block: np.ndarray, tokens: np.ndarray, out: list[bytes]) -> None:
+        """Rows of token ids, -1 after the last, merged until no pair has a rank."""
+        size, columns = self._size, np.arange(tokens.shape[1])
+        a, b = tokens[:, :-1], tokens[:, 1:]
+        ranks = np.full(tokens.shape, _NO_RANK, np.int64)
+        both = b >= 0
+        ranks[:, :-1][both] = self._rank(a[both] * size + b[both])
+        while len(block):
+            best = ranks.argmin(axis=1)
+            rows = np.arange(len(block))
+            rank = ranks[rows, best]
+            going = rank < _NO_RANK
+            if not going.all():
+                done = tokens[~going]
+                kept = done >= 0
+                raw, stops = done[kept].astype("<u4").tobytes(), (np.cumsum(kept.sum(axis=1)) * 4).tolist()
+                start = 0
+                for i, stop in zip(block[~going].tolist(), stops, strict=True):
+                    out[i] = raw[start:stop]
+                    start = stop
+                block, tokens, ranks = block[going], tokens[going], ranks[going]
+                best, rank, rows = best[going], rank[going], rows[: len(block)]
+                if not len(block):
+                    return
+            after = columns > best[:, None]
+            moved = np.concatenate([tokens[:, 1:], np.full((len(block), 1), -1)], axis=1)
+            tokens = np.where(after, moved, tokens)
+            tokens[rows, best] = self._merged[rank]
+            moved = np.concatenate([ranks[:, 1:], np.full((len(block), 1), _NO_RANK)], axis=1)
+            ranks = np.where(after, moved, ranks)
+            for left in (best - 1, best):
+                x = tokens[rows, np.maximum(left, 0)]
+                y = tokens[rows, np.minimum(left + 1, tokens.shape[1] - 1)]
+                real = (left >= 0) & (y >= 0) & (left + 1 < tokens.shape[1])
+                new = np.full(len(block), _NO_RANK, np.int64)
+                new[real] = self._rank(x[real] * size + y[real])
+                ranks[rows[left >= 0], left[left >= 0]] = new[left >= 0]
+
     def fits(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Whether merging leaves each pair of tokens apart where they stand side by side.
 
@@ -138,11 +232,10 @@ class Bpe:
         fit = np.ones(len(new), bool)
         at = np.arange(len(new))
         a, b = new // self._size, new % self._size
-        limit = np.full(len(new), np.iinfo(np.int64).max)
+        limit = np.full(len(new), _NO_RANK)
         while len(at):
             pair = a * self._size + b
-            place = np.minimum(np.searchsorted(self._pair_keys, pair), len(self._pair_keys) - 1)
-            merged = (self._pair_keys[place] == pair) & (self._pair_ranks[place] < limit)
+            merged = self._rank(pair) < limit
             fit[at[merged]] = False
             ra, rb = self._rank_of[a], self._rank_of[b]
             go = ~merged & ((ra >= 0) | (rb >= 0))
@@ -214,8 +307,23 @@ class Bpe:
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """Of each word the ids as little-endian unsigned 32-bit integers."""
         words = list(words)
-        symbols = [self._symbols(w) for w in words]
-        proposed = [self._greedy(s) if len(s) <= LONGEST_KEPT else None for s in symbols]
+        out: dict[str, bytes] = {}
+        short = [w for w in words if len(w) <= LONGEST_KEPT]
+        if self.speculate:
+            out, failed = self._verified(short)
+        else:
+            failed = short
+        if failed:
+            out.update(zip(failed, self.merge_many([w.encode() for w in failed]), strict=True))
+        if len(short) < len(words):
+            out.update((w, np.array(self.merge(self._symbols(w)), "<u4").tobytes()) for w in words if len(w) > LONGEST_KEPT)
+        self.counts["words"] += len(words)
+        self.counts["merged"] += len(words) - len(short) + len(failed)
+        return out
+
+    def _verified(self, words: list[str]) -> tuple[dict[str, bytes], list[str]]:
+        """The proposals of which all pairs fit, and the words whose proposal fails."""
+        proposed = [self._greedy(self._symbols(w)) for w in words]
         sizes = np.fromiter((len(p) if p else 0 for p in proposed), np.int64, len(words))
         flat = np.fromiter((t for p in proposed if p for t in p), np.int64, int(sizes.sum()))
         word_of = np.repeat(np.arange(len(words)), sizes)
@@ -224,15 +332,10 @@ class Bpe:
             inner = np.flatnonzero(word_of[1:] == word_of[:-1])
             apart = self.fits(flat[inner], flat[inner + 1])
             bad[word_of[inner[~apart]]] = True
-        raw, out = flat.astype("<u4").tobytes(), {}
-        ends = np.cumsum(sizes) * 4
-        for i, (word, start, end, failed) in enumerate(
-            zip(words, (ends - sizes * 4).tolist(), ends.tolist(), bad.tolist(), strict=True)
-        ):
-            out[word] = np.array(self.merge(symbols[i]), "<u4").tobytes() if failed else raw[start:end]
-        self.counts["words"] += len(words)
-        self.counts["merged"] += int(bad.sum())
-        return out
+        raw, stops = flat.astype("<u4").tobytes(), np.cumsum(sizes) * 4
+        spans = zip(words, (stops - sizes * 4).tolist(), stops.tolist(), bad.tolist(), strict=True)
+        out = {w: raw[start:stop] for w, start, stop, fails in spans if not fails}
+        return out, [w for w, fails in zip(words, bad.tolist(), strict=True) if fails]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Of each text (null: empty) the ids as little-endian unsigned 32-bit integers."""
@@ -289,6 +392,6 @@ class Bpe:
 
 
 @functools.cache
-def bpe(path: str) -> Bpe:
+def bpe(path: str, speculate: bool = True) -> Bpe:
     """The worker's encoder for a vocabulary file; its store of words lasts as long as the worker."""
-    return Bpe(path)
+    return Bpe(path, speculate)

@@ -68,6 +68,15 @@ def test_merge_short_and_long_agree(monkeypatch):
     assert [own.merge(w) for w in words] == short
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_without_speculation(name):
+    own, library = Bpe(public_tokenizers.path(name), speculate=False), BOTH[name][1]
+    rnd = random.Random(4)
+    texts = [*ODD, *("".join(rnd.choice("aabinthers é'1\n") for _ in range(300)) for _ in range(200))]
+    for ids, wanted in zip(own.ids(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == wanted.ids
+
+
 def test_small_store_of_words(monkeypatch):
     monkeypatch.setattr(module, "WORDS_KEPT", 5)
     own = Bpe(public_tokenizers.path(NAMES[0]))
