@@ -73,7 +73,7 @@ def write(
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file_no, place, n = TaskContext.get().partitionId(), 0, 0
-        own = bpe(vocabulary)
+        own = bpe(vocabulary, speculate=False)
         for batch in batches:
             for part in _slices(batch, "text"):
                 texts = [(t or b"").decode("utf-8", "replace") for t in part.column("text").to_pylist()]

@@ -169,7 +169,7 @@ def pieces(
     def rows(columns):
         out = {k: [] for k in ("doc", "key", "start", "length", "crc", "doc_tokens")}
         texts = [(t or b"").decode("utf-8", "replace") for t in columns["text"]]
-        for doc, key, ids in zip(columns["doc"], columns["key"], bpe(vocabulary).ids(texts), strict=True):
+        for doc, key, ids in zip(columns["doc"], columns["key"], bpe(vocabulary, speculate=False).ids(texts), strict=True):
             ids += end
             for at in range(0, len(ids), 4 * capacity):
                 part = ids[at : at + 4 * capacity]
@@ -255,7 +255,7 @@ def pack(
     def again(c):
         made = {k: [] for k in ("doc", "key", "start", "length", "crc")}
         texts = [(t or b"").decode("utf-8", "replace") for t in c["text"]]
-        for doc, key, cuts, ids in zip(c["doc"], c["key"], c["cuts"], bpe(vocabulary).ids(texts), strict=True):
+        for doc, key, cuts, ids in zip(c["doc"], c["key"], c["cuts"], bpe(vocabulary, speculate=False).ids(texts), strict=True):
             ids += end
             for x in cuts:
                 s, n = x["start"], x["length"]
