@@ -148,7 +148,8 @@ def findings(
     ordered = F.array_sort(
         F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["nth"].alias("nth"), s["stop"].alias("stop"), s["kind"].alias("kind")))
     )
-    hits = hits.select("blob", ordered.alias("spans"))
+    # a table, so that the join's two sides are plain exchanges and a blob that many documents share can be split
+    hits = materialize(hits.select("blob", ordered.alias("spans")), "hits")
     narrow = docs.select(F.col(id_col), address(F.col(text_col)).alias("blob"))
     none = F.lit([]).cast("array<struct<start:int,nth:int,stop:int,kind:string>>")
     return narrow.join(hits, "blob", "left").select(id_col, "blob", F.coalesce("spans", none).alias("spans"))
