@@ -122,3 +122,18 @@ def components(edges: DataFrame) -> DataFrame:
             break
     pairs = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return pairs.unionByName(pairs.select(F.col("root").alias("node"), "root").distinct())
+
+
+def sampled(df: DataFrame, id_col: str, most: int, seed: int) -> DataFrame:
+    """About ``most`` rows of ``df`` at most, by a hash of the id: the same rows wherever they lie."""
+    n = df.count()
+    if n <= most:
+        return df
+    span = 1 << 40
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(span)) < int(most / n * span))
+
+
+def held_out(id_col: str, folds: int, fold: int):
+    """Whether the CRC-32 of the id as text leaves ``fold`` modulo ``folds``; a null id counts as an empty text."""
+    text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    return F.crc32(text) % folds == fold

@@ -29,6 +29,16 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import held_out
+    from .langid import fit, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    out = held_out("doc_id", 3, 1)
+    found = identify(docs, fit(docs.where(~out)))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
