@@ -23,6 +23,18 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .common import held_out
+    from .toxicity import fit, score
+
+    docs, out = _table(spark, sf_dir, "documents"), held_out("doc_id", 5, 0)
+    found = score(docs, fit(docs, _table(spark, sf_dir, "labels").where(~out)))
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return found.select("doc_id", out.alias("held_out"), "score", predicted)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import round_trip_digests
 
