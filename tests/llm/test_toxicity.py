@@ -54,8 +54,8 @@ def test_without_labels(spark):
 
 
 def test_held_out_accuracy(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"  # sf0.01 holds 11 positive rows out, some of them marked at random
     rows = queries.op3_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
     held = [(r.score, r.toxic) for r in rows if r.held_out]
     pos, neg = [s for s, t in held if t], [s for s, t in held if not t]
-    assert np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg]) > 0.85
+    assert np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg]) > 0.93
