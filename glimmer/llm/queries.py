@@ -23,6 +23,13 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .covertree import top_k
+
+    table = _table(spark, sf_dir, "embeddings")
+    return top_k(table, table.where("vec_id % 20 = 0"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -66,6 +73,13 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path)
 
 
+def op9_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .graph import nearest
+
+    table = _table(spark, sf_dir, "embeddings")
+    return nearest(table, table.where("vec_id % 100 = 0"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -116,5 +130,14 @@ def _op10_sql() -> str:
         FROM t LEFT JOIN g USING (doc_id)"""
 
 
+_OP2_SQL = """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+    SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_secrets": _op10_sql()}
+    return {"op2_topk": _OP2_SQL, "op10_secrets": _op10_sql()}
