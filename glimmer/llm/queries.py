@@ -73,6 +73,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path)
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import digests
+
+    return digests(_table(spark, sf_dir, "documents"))
+
+
 def op9_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .graph import nearest
 
@@ -139,5 +145,19 @@ _OP2_SQL = """
     SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20"""
 
 
+_OP8_SQL = """
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
+    g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS h FROM s),
+    f AS (SELECT h, min(doc_id) AS least FROM g GROUP BY h),
+    r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM g JOIN f USING (h) WHERE doc_id > least),
+    p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+    k AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.p) AS kept, count(*) AS n
+          FROM p ANTI JOIN r ON p.doc_id = r.doc_id AND p.p = r.p GROUP BY p.doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+           sha256(coalesce(k.kept, '')) AS kept_sha256
+    FROM d LEFT JOIN k ON d.doc_id = k.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": _OP2_SQL, "op10_secrets": _op10_sql()}
+    return {"op2_topk": _OP2_SQL, "op8_substrings": _OP8_SQL, "op10_secrets": _op10_sql()}
