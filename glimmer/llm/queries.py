@@ -17,7 +17,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -45,7 +46,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import round_trip_digests
 
-    return round_trip_digests(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return round_trip_digests(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2)
+    return pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +70,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import shared_path
 
     path = shared_path(spark, "tokens")
-    write(_table(spark, sf_dir, "documents"), path, _vocabulary("byte_bpe_50k.json"), end_id=2)
+    write(_table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=2)
     return read_documents(spark, path)
 
 
