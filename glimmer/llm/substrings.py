@@ -27,9 +27,10 @@ from .fmindex import FmIndex
 WINDOW, GROUP = 13, 5
 #: Words of a shard's stretches, about.
 SHARD_WORDS = 500_000
-#: Documents with an anchor up to which its stretches go to one shard.  Beyond, its windows are counted by
-#: 128-bit hash, which is combined before the shuffle; no shard grows with a passage that all documents share.
-SHARED_BY = 1000
+#: Documents with an anchor up to which its stretches go to one shard: as many as fill a shard, at some 25 words each.
+#: Beyond, its windows are counted by 128-bit hash, which is combined before the shuffle; no shard grows with a passage
+#: that all documents share.
+SHARED_BY = SHARD_WORDS // 25
 #: Windows of a stretch at most; a longer one is cut, into stretches that overlap by a window less one word.
 STRETCH = 64
 #: Words whose hashes a worker keeps.
