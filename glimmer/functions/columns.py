@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,27 +41,28 @@ def iir_coefficients(sigma: float) -> tuple[float, float, float, float]:
     return 1 - b1 - b2 - b3, b1, b2, b3
 
 
-def iir_pass(values: Column, sigma: float, ends: str = "raw") -> Column:
+def iir_pass(values: Column, sigma: float) -> Column:
     """An array of doubles through the recursive Gaussian, forth and back, as a fold over the array.
 
-    ``raw`` leaves the first three values of each pass as they are; ``edge``
-    starts each pass as if the end value went on for ever.
+    The first three values of each pass stay as they are; so do arrays of three
+    values or fewer.  Meant for arrays of up to some thousand values.
     """
     gain, b1, b2, b3 = iir_coefficients(sigma)
 
+    def step(done: Column, v: Column) -> Column:
+        n = F.size(done)
+        value = gain * v + b1 * F.get(done, n - 1) + b2 * F.get(done, n - 2) + b3 * F.get(done, n - 3)
+        return F.concat(done, F.array(value))
+
     def one_way(a: Column) -> Column:
-        if ends == "edge":
-            first = F.get(a, F.lit(0))
-            start, rest = F.array(first, first, first), a
-        else:
-            start, rest = F.slice(a, 1, 3), F.slice(a, 4, F.greatest(F.size(a) - 3, F.lit(0)))
+        return F.aggregate(F.slice(a, 4, F.size(a) - 3), F.slice(a, 1, 3).cast("array<double>"), step)
+
+    def both(a: Column) -> Column:
+        return let(F.reverse(one_way(a)), lambda back: F.reverse(one_way(back)))
 
-        def step(done: Column, v: Column) -> Column:
-            n = F.size(done)
-            value = gain * v + b1 * F.get(done, n - 1) + b2 * F.get(done, n - 2) + b3 * F.get(done, n - 3)
-            return F.concat(done, F.array(value))
+    return let(values, lambda a: F.when(F.size(a) > 3, both(a)).otherwise(a))
 
-        out = F.aggregate(rest, start.cast("array<double>"), step)
-        return F.slice(out, 4, F.greatest(F.size(a), F.lit(1))) if ends == "edge" else out
 
-    return F.when(F.size(values) > 3, F.reverse(one_way(F.reverse(one_way(values))))).otherwise(values)
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, though it may stand in several places."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

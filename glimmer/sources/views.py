@@ -26,9 +26,10 @@ def frame_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), side.alias("h"), side.alias("w"), adu.alias("px"))
 
 
-def video(spark: SparkSession, sf_dir: str) -> DataFrame:
-    voxels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.posexplode("embedding").alias("p", "v"))
-    return voxels.select(
+def voxels(embeddings: DataFrame) -> DataFrame:
+    """A row for each voxel of vectors taken as frames."""
+    each = embeddings.select(F.col("vec_id").alias("frame"), F.posexplode("embedding").alias("p", "v"))
+    return each.select(
         "frame",
         F.expr(f"cast(p div {SIDE} as bigint)").alias("y"),
         F.expr(f"cast(p % {SIDE} as bigint)").alias("x"),
@@ -36,6 +37,10 @@ def video(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def video(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voxels(table(spark, sf_dir, "embeddings"))
+
+
 def _squares(rows: DataFrame, key: str, y0: str, x0: str) -> DataFrame:
     corner = rows.select(F.col(key).cast("long").alias("roi"), F.expr(y0).alias("y0"), F.expr(x0).alias("x0"))
     each = corner.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(8))))
