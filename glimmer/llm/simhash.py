@@ -65,8 +65,8 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
         raise ValueError("radius must be 0, 2 or 4")
     masks = [sum(1 << i for i in flips) for k in range(radius // 2 + 1) for flips in combinations(range(64), k)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    distinct = fps.select("fp").distinct()
-    variants = distinct.select("fp", F.explode(F.lit(signed)).alias("mask")).select(
+    # copies emit the same rows, which each task combines before the shuffle
+    variants = fps.select("fp", F.explode(F.lit(signed)).alias("mask")).select(
         "mask", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant")
     )
     if radius <= 2:  # one bit names a member: a bucket is one long, combined before the shuffle
