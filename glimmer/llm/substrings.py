@@ -85,14 +85,18 @@ def _runs(anchor: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[int, int]]:
             yield at, min(b, at + STRETCH)
 
 
-def _store(docs: DataFrame, id_col: str, text_col: str, window: int, group: int) -> DataFrame:
-    """Each row's words, compressed, with its anchors; dealt out by ``uid`` once, so that later joins leave it in place.
+def _store(docs: DataFrame, id_col: str, text_col: str, window: int, group: int, carry: list[str]) -> DataFrame:
+    """Each row's text, compressed, with its anchors; dealt out by ``uid`` once, so that later joins leave it in place.
 
-    ``copy`` marks texts that a smaller id has word for word; they need no search.
+    ``copy`` marks texts that a smaller id has word for word; they need no search,
+    and lose all their words if they have a window of them.  The columns ``carry``
+    go along as ``carried_0`` and so on.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), text.alias("text"))
-    rows = rows.select(F.xxhash64("doc", "text").alias("uid"), "doc", F.col("text").cast("binary").alias("text"))
+    along = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), text.alias("text"), *along)
+    names = [f"carried_{i}" for i in range(len(carry))]
+    rows = rows.select(F.xxhash64("doc", "text").alias("uid"), "doc", F.col("text").cast("binary").alias("text"), *names)
     narrow = rows.select("uid", "doc", F.md5("text").alias("digest"))
     least = narrow.groupBy("digest").agg(F.min("doc").alias("least"))
     copies = narrow.join(least, "digest").groupBy("uid").agg(F.max(F.col("doc") > F.col("least")).alias("copy"))
@@ -103,14 +107,15 @@ def _store(docs: DataFrame, id_col: str, text_col: str, window: int, group: int)
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for uid, doc, copy, t in zip(columns["uid"], columns["doc"], columns["copy"], columns["text"], strict=True):
             words = t.split()
-            joined = b" ".join(words)
+            gone = copy and len(words) >= window
             own = np.zeros(0, np.int64) if copy else np.unique(anchors(words, window, group))
-            sha = hashlib.sha256(b"" if copy and len(words) >= window else joined).hexdigest()
-            for k, v in zip(out, (uid, doc, copy, len(words), sha, b"" if copy else squeeze(joined), own.tolist()), strict=True):
+            sha = hashlib.sha256(b"" if gone else b" ".join(words)).hexdigest()
+            for k, v in zip(out, (uid, doc, copy, len(words), sha, b"" if gone else squeeze(t), own.tolist()), strict=True):
                 out[k].append(v)
-        yield out
+        yield out | {k: columns[k] for k in names}
 
     schema = "uid long, doc long, copy boolean, n_words long, sha string, words binary, anchors array<long>"
+    schema += "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, carry, strict=True))
     stored = arrow_map(joined, over, schema, weight="text")
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -120,8 +125,12 @@ def _store(docs: DataFrame, id_col: str, text_col: str, window: int, group: int)
     return spark.table(name)
 
 
+def _text(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob) if blob else b""
+
+
 def _words(blob: bytes) -> list[bytes]:
-    return zstandard.ZstdDecompressor().decompress(blob).split() if blob else []
+    return _text(blob).split()
 
 
 def repeated(stored: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
@@ -202,13 +211,15 @@ def _search(rows: pa.Table, window: int) -> pa.Table:
     return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("uid", "start", "stop"), out, strict=True)})
 
 
-def _kept(docs: DataFrame, id_col: str, text_col: str, window: int, group: int, keep: bool) -> DataFrame:
-    stored = _store(docs, id_col, text_col, window, group)
+def _kept(docs: DataFrame, id_col: str, text_col: str, window: int, group: int, carry: list[str] | None = None) -> DataFrame:
+    """``doc, n_words, n_removed, kept_sha256`` of every row; with ``carry`` its text and those columns too."""
+    stored = _store(docs, id_col, text_col, window, group, carry or [])
+    names = [f"carried_{i}" for i in range(len(carry or []))]
     spans = repeated(stored, window, group)
     spans = spans.groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     def finish(columns):
-        out = {k: [] for k in ("uid", "doc", "n_words", "n_removed", "kept_sha256", "kept")}
+        out = {k: [] for k in ("doc", "n_words", "n_removed", "kept_sha256", "kept")}
         for i, doc in enumerate(columns["doc"]):
             n, spans, copy = columns["n_words"][i], columns["spans"][i], columns["copy"][i]
             removed, sha, kept = (n if copy and n >= window else 0), columns["sha"][i], None
@@ -218,17 +229,17 @@ def _kept(docs: DataFrame, id_col: str, text_col: str, window: int, group: int,
                 np.add.at(gone, [s["start"] for s in spans], 1)
                 np.add.at(gone, [s["stop"] for s in spans], -1)
                 there = np.cumsum(gone[:-1]) == 0
-                left = b" ".join([words[j] for j in np.flatnonzero(there).tolist()])
-                removed, sha = n - int(there.sum()), hashlib.sha256(left).hexdigest()
-                kept = left.decode("utf-8", "replace") if keep else None
-            elif removed and keep:
-                kept = ""
-            doc = None if doc == NO_ID else doc
-            for k, v in zip(out, (columns["uid"][i], doc, n, removed, sha, kept), strict=True):
+                kept = b" ".join([words[j] for j in np.flatnonzero(there).tolist()])
+                removed, sha = n - int(there.sum()), hashlib.sha256(kept).hexdigest()
+            elif carry is not None:
+                kept = _text(columns["words"][i])
+            kept = kept.decode("utf-8", "replace") if carry is not None else None
+            for k, v in zip(out, (None if doc == NO_ID else doc, n, removed, sha, kept), strict=True):
                 out[k].append(v)
-        yield out
+        yield out | {k: columns[k] for k in names}
 
-    schema = "uid long, doc long, n_words long, n_removed long, kept_sha256 string, kept string"
+    schema = "doc long, n_words long, n_removed long, kept_sha256 string, kept string"
+    schema += "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, carry or [], strict=True))
     return arrow_map(stored.drop("anchors").join(spans, "uid", "left"), finish, schema, weight="words")
 
 
@@ -242,16 +253,20 @@ def digests(
     words; a document of fewer words than a window keeps them; rows of one id
     don't remove each other's words; a null id is larger than all others.
     """
-    out = _kept(docs, id_col, text_col, window, group, keep=False)
+    out = _kept(docs, id_col, text_col, window, group)
     return out.select(F.col("doc").alias(id_col), "n_words", "n_removed", "kept_sha256")
 
 
 def deduplicate(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group: int = GROUP
 ) -> DataFrame:
-    """``docs`` with the removed words taken out; texts that lose none stay as they are, others are joined by one space."""
-    out = _kept(docs, id_col, text_col, window, group, keep=True).where("n_removed > 0")
-    out = out.select(F.col("uid").alias("_uid"), F.col("kept").alias("_kept")).dropDuplicates(["_uid"])
-    uid = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.withColumn("_uid", uid).join(out, "_uid", "left")
-    return joined.withColumn(text_col, F.coalesce("_kept", F.col(text_col))).select(docs.columns)
+    """``docs`` with the removed words taken out; texts that lose none stay as they are, others are joined by one space.
+
+    The other columns go along with the texts, so that nothing is joined back.
+    """
+    marked = docs.withColumn("_null", F.col(text_col).isNull())
+    others = [c for c in marked.columns if c != text_col]
+    out = _kept(marked, id_col, text_col, window, group, others)
+    back = {c: F.col(f"carried_{i}") for i, c in enumerate(others)}
+    text = F.when(~back["_null"], F.col("kept"))
+    return out.select(*[(text if c == text_col else back[c]).alias(c) for c in docs.columns])
