@@ -9,22 +9,24 @@ from pyspark.sql import functions as F
 from glimmer.functions.columns import ratio
 
 
-def iou_matrix(evaluated: DataFrame, reference: DataFrame) -> DataFrame:
-    """``eval_id, gt_id, iou`` of every pair of two sets of regions; 0 where both are empty.
+def iou_matrix(evaluated: DataFrame, reference: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys, eval_id, gt_id, iou`` of every pair of two sets of regions; 0 where both are empty.
 
-    Intersections come from an equi-join on pixels.  The full matrix has a row for
-    each pair of regions of one image by definition, like the table of scores that
-    it feeds; areas are small tables beside the pixels.
+    ``keys`` (such as ``dataset``) keep recordings apart.  Intersections come from
+    an equi-join on pixels.  The matrix has a row for each pair of regions of one
+    recording by definition, like the table of scores that it feeds; areas are
+    small tables beside the pixels.
     """
-    a = evaluated.groupBy(F.col("roi").alias("eval_id")).agg(F.count("*").alias("_a"))
-    b = reference.groupBy(F.col("roi").alias("gt_id")).agg(F.count("*").alias("_b"))
-    left = evaluated.select(F.col("roi").alias("eval_id"), "y", "x")
-    both = left.join(reference.select(F.col("roi").alias("gt_id"), "y", "x"), ["y", "x"])
-    both = both.groupBy("eval_id", "gt_id").agg(F.count("*").alias("_i"))
-    pairs = a.crossJoin(b).join(both, ["eval_id", "gt_id"], "left")
+    k = list(keys)
+    a = evaluated.groupBy(*k, F.col("roi").alias("eval_id")).agg(F.count("*").alias("_a"))
+    b = reference.groupBy(*k, F.col("roi").alias("gt_id")).agg(F.count("*").alias("_b"))
+    left = evaluated.select(*k, F.col("roi").alias("eval_id"), "y", "x")
+    both = left.join(reference.select(*k, F.col("roi").alias("gt_id"), "y", "x"), [*k, "y", "x"])
+    both = both.groupBy(*k, "eval_id", "gt_id").agg(F.count("*").alias("_i"))
+    pairs = (a.join(b, k) if k else a.crossJoin(b)).join(both, [*k, "eval_id", "gt_id"], "left")
     shared = F.coalesce("_i", F.lit(0))
     iou = F.coalesce(F.try_divide(shared.cast("double"), (F.col("_a") + F.col("_b") - shared).cast("double")), F.lit(0.0))
-    return pairs.select("eval_id", "gt_id", iou.alias("iou"))
+    return pairs.select(*k, "eval_id", "gt_id", iou.alias("iou"))
 
 
 def thresholds(spark, n: int = 100) -> DataFrame:
@@ -32,23 +34,22 @@ def thresholds(spark, n: int = 100) -> DataFrame:
     return spark.range(1, n + 1).select((F.col("id") / float(n)).alias("threshold"))
 
 
-def threshold_counts(iou: DataFrame, n: int = 100) -> DataFrame:
-    """``threshold, tp, fp, fn``: regions with a partner of at least that IoU, without one-to-one matching.
+def threshold_counts(iou: DataFrame, n: int = 100, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys, threshold, tp, fp, fn``: regions with a partner of at least that IoU, without one-to-one matching.
 
     A region's best IoU tells all its thresholds, so only best values meet the
     thresholds.
     """
-    levels = thresholds(iou.sparkSession, n)
-    best_e = iou.groupBy("eval_id").agg(F.max("iou").alias("best"))
-    best_g = iou.groupBy("gt_id").agg(F.max("iou").alias("best"))
+    levels, k = thresholds(iou.sparkSession, n), list(keys)
 
-    def hits(best: DataFrame, name: str) -> DataFrame:
+    def hits(region: str, name: str) -> DataFrame:
+        best = iou.groupBy(*k, region).agg(F.max("iou").alias("best"))
         met = best.crossJoin(F.broadcast(levels))  # n rows for each region
         hit = F.sum((F.col("best") >= F.col("threshold")).cast("long"))
-        return met.groupBy("threshold").agg(hit.alias(name), (F.count("*") - hit).alias(f"no_{name}"))
+        return met.groupBy(*k, "threshold").agg(hit.alias(name), (F.count("*") - hit).alias(f"no_{name}"))
 
-    joined = hits(best_e, "tp").join(hits(best_g, "found"), "threshold")
-    return joined.select("threshold", "tp", F.col("no_tp").alias("fp"), F.col("no_found").alias("fn"))
+    joined = hits("eval_id", "tp").join(hits("gt_id", "found"), [*k, "threshold"])
+    return joined.select(*k, "threshold", "tp", F.col("no_tp").alias("fp"), F.col("no_found").alias("fn"))
 
 
 def _largest_matching(pairs: list[tuple[int, int]]) -> int:
@@ -185,3 +186,8 @@ def reuse_times(now: DataFrame, stored: DataFrame) -> DataFrame:
     before = stored.select("dataset", "stage", F.col("sec").alias("_old"))
     joined = now.join(before, ["dataset", "stage"], "left")
     return joined.select("dataset", "stage", F.coalesce("sec", "_old").alias("sec"))
+
+
+def repeat_stats(runs: DataFrame) -> DataFrame:
+    """``dataset, n, mean, sd`` of repeated timings, and a row over all with a null dataset, by one rollup."""
+    return runs.rollup("dataset").agg(F.count("*").alias("n"), F.avg("sec").alias("mean"), F.stddev_samp("sec").alias("sd"))

@@ -225,3 +225,23 @@ def demix(masks: DataFrame, height: int, width: int, area_min: int, binarize: fl
 
     return masks.groupBy("grp").applyInPandas(over, "grp long, component long, y long, x long")
 
+
+
+def contour_edges(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, y0, x0, y1, x1``: the pixel sides between a region and its outside, each with the region on its left.
+
+    The outline at level one half, as edges; sides between two members of the
+    region cancel out.
+    """
+    sides = [((0, 0), (1, 0), (0, -1)), ((1, 0), (1, 1), (1, 0)), ((1, 1), (0, 1), (0, 1)), ((0, 1), (0, 0), (-1, 0))]
+    each = F.explode(F.array(*[
+        F.struct(
+            (F.col("y") + a[0]).alias("y0"), (F.col("x") + a[1]).alias("x0"), (F.col("y") + b[0]).alias("y1"), (F.col("x") + b[1]).alias("x1"),
+            (F.col("y") + n[0]).alias("ny"), (F.col("x") + n[1]).alias("nx"),
+        )
+        for a, b, n in sides
+    ])).alias("e")
+    members = pixels.select(*keys, *_PIXEL).distinct()
+    edges = members.select(*keys, each).select(*keys, "e.*")
+    there = members.select(*keys, F.col("y").alias("ny"), F.col("x").alias("nx"))
+    return edges.join(there, [*keys, "ny", "nx"], "left_anti").select(*keys, "y0", "x0", "y1", "x1")

@@ -165,3 +165,22 @@ def mad_threshold(video: DataFrame, factor: float = 3.0, value: str = "adu") ->
     joined = with_med.join(mad, keys)
     low = F.col(value) < F.col("_m") + factor * F.col("_d")
     return joined.select("frame", "y", "x", F.when(low, F.lit(0).cast("long")).otherwise(F.col(value)).alias("v"))
+
+
+def residualize(trace: DataFrame, motion: DataFrame, epoch: int) -> DataFrame:
+    """``roi, t, v``: values less their linear regression on motion ``t, mx, my`` (and a constant kept) in each epoch.
+
+    Two-variable least squares by grouped sums; an epoch whose motion can't be
+    told from a constant or a line stays as it is.
+    """
+    rows = trace.join(motion, "t").withColumn("seg", F.expr(f"t div {epoch}"))
+    sums = rows.groupBy("roi", "seg").agg(
+        F.var_pop("mx").alias("xx"), F.var_pop("my").alias("yy"), F.covar_pop("mx", "my").alias("xy"),
+        F.covar_pop("mx", "v").alias("xv"), F.covar_pop("my", "v").alias("yv"), F.avg("mx").alias("ax"), F.avg("my").alias("ay"),
+    )
+    det = F.expr("xx * yy - xy * xy")
+    good = det > 1e-9 * F.greatest(F.lit(1e-12), F.col("xx") * F.col("yy"))
+    bx = F.when(good, F.try_divide(F.expr("xv * yy - yv * xy"), det)).otherwise(0.0)
+    by = F.when(good, F.try_divide(F.expr("yv * xx - xv * xy"), det)).otherwise(0.0)
+    fits = sums.select("roi", "seg", bx.alias("bx"), by.alias("by"), "ax", "ay")
+    return rows.join(fits, ["roi", "seg"]).select("roi", "t", F.expr("v - bx * (mx - ax) - by * (my - ay)").alias("v"))

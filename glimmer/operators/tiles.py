@@ -129,6 +129,52 @@ def score_tiles(tiles: DataFrame, patch: tuple[int, int], scorer: Scorer = contr
     return out.select("seg", "ty", "tx", F.expr(f"cast(p div {w} as bigint)").alias("dy"), F.expr(f"cast(p % {w} as bigint)").alias("dx"), value)
 
 
+def fit_scorer(tiles: DataFrame, labels: DataFrame, most: int = 200_000, seed: int = 0) -> Scorer:
+    """A per-pixel logistic model of a pixel's value and its tile's mean, fitted to labels ``seg, y, x`` (members).
+
+    A stand-in for a network behind the same interface.  At most about ``most``
+    pixels, chosen by a hash, come to the driver to be fitted.
+    """
+    place = tiles.withColumns({"y": F.col("ty") + F.col("dy"), "x": F.col("tx") + F.col("dx")})
+    means = tiles.groupBy("seg", "ty", "tx").agg(F.avg("v").alias("m"))
+    marked = place.join(means, ["seg", "ty", "tx"]).join(labels.select("seg", "y", "x").distinct().withColumn("on", F.lit(1.0)), ["seg", "y", "x"], "left")
+    n, span = tiles.count(), 1 << 30
+    share = int(min(1.0, most / max(1, n)) * span)
+    kept = marked.where(F.pmod(F.xxhash64(F.lit(seed), "seg", "ty", "tx", "dy", "dx"), F.lit(span)) < share)
+    rows = kept.select(F.col("v").cast("double"), "m", F.coalesce("on", F.lit(0.0)).alias("on")).toPandas()
+    x = np.stack([rows["v"], rows["v"] - rows["m"], np.ones(len(rows))], axis=1)
+    y, w = rows["on"].to_numpy(), np.zeros(3)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(3), x.T @ (p - y) + 1e-3 * w)
+    a, b, c = w.tolist()
+
+    def score(batch: np.ndarray) -> np.ndarray:
+        mean = batch.mean(axis=(1, 2), keepdims=True)
+        return 1 / (1 + np.exp(-np.clip(a * batch + b * (batch - mean) + c, -30, 30)))
+
+    return score
+
+
+def log_loss(prob: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row, ``loss``: the mean cross-entropy of ``seg, y, x, v`` against members ``seg, y, x``."""
+    on = labels.select("seg", "y", "x").distinct().withColumn("on", F.lit(True))
+    p = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), F.col("v")))
+    loss = -F.when(F.col("on"), F.log(p)).otherwise(F.log(1 - p))
+    return prob.join(on, ["seg", "y", "x"], "left").agg(F.avg(loss).alias("loss"))
+
+
+def mosaic(images: DataFrame, other: DataFrame, width: int, value: str = "v") -> DataFrame:
+    """Two stacks side by side, each over its own largest value."""
+
+    def scaled(df: DataFrame, shift: int) -> DataFrame:
+        top = df.agg(F.max(value).alias("_top"))
+        v = F.coalesce(F.try_divide(F.col(value).cast("double"), F.col("_top").cast("double")), F.lit(0.0))
+        return df.crossJoin(F.broadcast(top)).select("seg", "y", (F.col("x") + shift).alias("x"), v.alias(value))
+
+    return scaled(images, 0).unionByName(scaled(other, width))
+
+
 def resize_nearest(images: DataFrame, old: tuple[int, int], new: tuple[int, int], value: str = "v") -> DataFrame:
     """Images at another size by the nearest pixel; the same image where the sizes are equal."""
     spark = images.sparkSession

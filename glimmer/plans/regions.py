@@ -187,3 +187,17 @@ def compute_masks(spark, d):
     peak = prob.groupBy("seg").agg(F.max("temporal").alias("_m"))
     prob = prob.join(peak, "seg").select("seg", "y", "x", (F.col("temporal") / F.col("_m")).alias("p"))
     return run(prob, signals.projection(video(spark, d), "mean"), SIDE, SIDE)
+
+
+@query("contour_edges", sql("""+ s(a, b, c, d, e, f) AS (VALUES (0, 0, 1, 0, 0, -1), (1, 0, 1, 1, 1, 0), (1, 1, 0, 1, 0, 1), (0, 1, 0, 0, -1, 0))
+    SELECT roi, y + a AS y0, x + b AS x0, y + c AS y1, x + d AS x1 FROM gt g, s WHERE NOT EXISTS (SELECT 1 FROM gt h WHERE h.roi = g.roi AND h.y = g.y + e AND h.x = g.x + f)""", "gt"))
+def contour_edges(spark, d):
+    return morphology.contour_edges(gt(spark, d), ["roi"])
+
+
+@query("background_pixels", sql(f"""+ u AS (SELECT DISTINCT y, x FROM ev WHERE roi < 3),
+    g AS (SELECT DISTINCT y + dy AS y, x + dx AS x FROM u, {_MOVES} WHERE y + dy BETWEEN 0 AND 7 AND x + dx BETWEEN 0 AND 7)
+    SELECT i // 8 AS y, i % 8 AS x FROM range(64) t(i) EXCEPT SELECT y, x FROM g""", "ev"))
+def background_pixels(spark, d):
+    union = rois.union_footprint(ev(spark, d).where("roi < 3"))
+    return rois.complement(morphology.dilate(union, 1, SIDE, SIDE), SIDE, SIDE)

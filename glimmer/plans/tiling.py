@@ -82,3 +82,19 @@ def resize_images(spark, d):
 @query("pad_images", sql(f"+ {_IMAGES} SELECT seg, a.i AS y, b.i AS x, v FROM range(10) a(i), range(8) b(i), m WHERE m.y = least(7, a.i) AND m.x = b.i", "video"))
 def pad_images(spark, d):
     return tiles.pad_or_magnify(images(spark, d), (SIDE, SIDE), (10, 6), "edge")
+
+
+@query("mosaic", sql(f"""+ {_IMAGES}, n AS (SELECT seg, y, x, v - 1000 AS v FROM m)
+    SELECT seg, y, x, round(v / CAST((SELECT max(v) FROM m) AS DOUBLE), 9) AS v FROM m UNION ALL SELECT seg, y, x + 8, round(v / CAST((SELECT max(v) FROM n) AS DOUBLE), 9) FROM n""", "video"))
+def mosaic(spark, d):
+    a = images(spark, d)
+    return tiles.mosaic(a, a.withColumn("v", F.col("v") - 1000), SIDE).withColumn("v", F.round("v", 9))
+
+
+@query("fit_and_validate")
+def fit_and_validate(spark, d):
+    t = tiles.normalize_tiles(_tiles(spark, d))
+    labels = images(spark, d).where("v > 1330")
+    scored = tiles.score_tiles(t, (4, 4), tiles.fit_scorer(t, labels))
+    merged = tiles.merge_weighted(scored, (4, 4), rois.pixel_grid(spark, SIDE, SIDE))
+    return tiles.log_loss(merged, labels).withColumn("loss", F.round("loss", 4))

@@ -104,3 +104,14 @@ def photobleach_trend(spark, d):
     SELECT frame, y, x, CASE WHEN adu < m + 1.5::DOUBLE * d THEN 0 ELSE adu END AS v FROM video JOIN m USING (y, x) JOIN d USING (y, x)""", "video"))
 def mad_threshold(spark, d):
     return spikes.mad_threshold(video(spark, d), 1.5)
+
+
+@query("residualize", sql("""+ r AS (SELECT roi, t, t // 25 AS seg, v, (t * 7 % 11) * 1.0::DOUBLE AS mx, (t * 5 % 13) * 1.0::DOUBLE AS my FROM trace),
+    s AS (SELECT roi, seg, var_pop(mx) AS xx, var_pop(my) AS yy, covar_pop(mx, my) AS xy, covar_pop(mx, v) AS xv, covar_pop(my, v) AS yv, avg(mx) AS ax, avg(my) AS ay, count(*) AS n FROM r GROUP BY ALL)
+    SELECT r.roi, t, round(v - (xv * yy - yv * xy) / (xx * yy - xy * xy) * (mx - ax) - (yv * xx - xv * xy) / (xx * yy - xy * xy) * (my - ay), 4) AS v FROM r JOIN s ON r.roi = s.roi AND r.seg = s.seg WHERE n = 25""", "trace"))
+def residualize(spark, d):
+    t = trace(spark, d)
+    whole = t.groupBy("roi", F.expr("t div 25").alias("seg")).agg(F.count("*").alias("n")).where("n = 25")
+    times = t.select("t").distinct().select("t", (F.col("t") * 7 % 11).cast("double").alias("mx"), (F.col("t") * 5 % 13).cast("double").alias("my"))
+    out = spikes.residualize(t, times, 25).withColumn("seg", F.expr("t div 25")).join(whole, ["roi", "seg"], "left_semi")
+    return _r(out.select("roi", "t", "v"), "v", digits=4)
