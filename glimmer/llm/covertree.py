@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, sampled
@@ -273,8 +273,10 @@ def top_k(
     no_floor = F.lit(None).cast("array<long>").alias("floor")
     near = groups.trees.select(F.explode(F.get(mine.cast("array<array<long>>"), F.col("pivot"))).alias("shard"), "tree", no_floor)
     first = materialize(_searched(shards.trees, shards.total, near, k), "found")
-    scores = first.groupBy("rep").agg(F.sort_array(F.collect_list("score"), asc=False).alias("scores"))
-    kth = scores.select("rep", F.get("scores", F.lit(k)).alias("kth"))
+    by_score = Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
+    # Spark trims each task's rows to k + 1 for each query before the shuffle
+    kth = first.withColumn("_nth", F.row_number().over(by_score)).where(F.col("_nth") <= k + 1).where(F.col("_nth") == k + 1)
+    kth = kth.select("rep", F.col("score").alias("kth"))
     places = groups.trees.select("part", F.posexplode("ids").alias("place", "rep")).join(kth, "rep", "left")
     floors = places.groupBy("part").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("place", "kth"))), lambda m: m["kth"]).alias("floor")
