@@ -19,6 +19,8 @@ from collections.abc import Iterable
 import numpy as np
 import regex
 
+from .common import holding
+
 #: Words of which a worker keeps the ids, in each of two halves of its store; a full half replaces the older one.
 WORDS_KEPT = 250_000
 #: Longest word whose ids are kept, in characters.
@@ -391,7 +393,10 @@ class Bpe:
         return raw.decode("utf-8", "replace")
 
 
-@functools.cache
+_loaded = functools.cache(Bpe)
+
+
 def bpe(path: str, speculate: bool = True) -> Bpe:
-    """The worker's encoder for a vocabulary file; its store of words lasts as long as the worker."""
-    return Bpe(path, speculate)
+    """The worker's encoder for a vocabulary file; its store of words lasts until another operator needs the room."""
+    holding("bpe", _loaded.cache_clear)
+    return _loaded(path, speculate)

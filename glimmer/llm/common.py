@@ -11,8 +11,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Texts are handed to Python code in slices of about so many characters.
-SLICE_CHARS = 4_000_000
+#: Texts are handed to Python code in slices of about so many bytes.
+SLICE_BYTES = 4_000_000
+
+_holder: list[tuple[str, Callable[[], object]]] = []
+
+
+def holding(name: str, forget: Callable[[], object]) -> None:
+    """Say that a worker's operator now keeps words in memory; what another one has kept is let go.
+
+    Workers are used again by later stages, and each has room for one store.
+    """
+    if _holder and _holder[0][0] != name:
+        _holder.pop()[1]()
+    if not _holder:
+        _holder.append((name, forget))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +64,7 @@ def arrow_map(
     rows: Callable[[dict[str, list]], Iterable[dict[str, list]]],
     schema: str,
     weight: str | None = None,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """Apply ``rows`` to column slices of each partition.
 
@@ -64,19 +78,20 @@ def arrow_map(
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, weight):
+            for part in slices(batch, weight, slice_bytes):
                 columns = {}
                 for name, values in zip(part.schema.names, part.columns, strict=True):
                     columns[name] = (values.cast(pa.binary()) if name == weight else values).to_pylist()
                 for made in rows(columns):
                     arrays = [pa.array(made[f.name], f.type) for f in out]
                     yield pa.RecordBatch.from_arrays(arrays, schema=out)
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(over, schema)
 
 
-def _slices(batch: pa.RecordBatch, weight: str | None) -> Iterator[pa.RecordBatch]:
-    """Slices of about SLICE_CHARS bytes of the column ``weight``; one row at least."""
+def slices(batch: pa.RecordBatch, weight: str | None, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``most`` bytes of the column ``weight``; one row at least."""
     if weight is None or not batch.num_rows:
         yield batch
         return
@@ -85,7 +100,7 @@ def _slices(batch: pa.RecordBatch, weight: str | None) -> Iterator[pa.RecordBatc
     sizes = pc.fill_null(pc.binary_length(batch.column(weight)), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
-        if i > start and total + n > SLICE_CHARS:
+        if i > start and total + n > most:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += n

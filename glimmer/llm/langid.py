@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, sampled
+from .common import arrow_map, holding, materialize, sampled
 
 #: Documents that a model is fitted on, about, at most.
 TRAINING_DOCS = 10_000
@@ -19,7 +19,7 @@ ENTRIES = 30_000
 #: Lengths of the character n-grams that stand in for unseen words, longest first.
 ORDERS = (5, 4, 3, 2, 1)
 #: Words whose scores a worker keeps before it starts anew.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 300_000
 #: Words beyond which more evidence doesn't make the score surer.
 SURE_WORDS = 20
 UNDETERMINED = "und"
@@ -54,8 +54,12 @@ class Model:
     logs: np.ndarray  # rows of log frequencies by language
 
     def __post_init__(self) -> None:
+        self.forget()
+
+    def forget(self) -> None:
+        """Let go of the words whose scores are kept."""
         self._place: dict[str, int] = {}
-        self._rows = np.zeros((WORDS_KEPT, len(self.languages)), np.float32)
+        self._rows = np.zeros((1, len(self.languages)), np.float32)
 
     def _score(self, new: list[str]) -> np.ndarray:
         """The scores of words: their own, or else the mean of their longest n-grams that are known."""
@@ -91,12 +95,14 @@ class Model:
         for at in range(0, len(split), 256):
             part = split[at : at + 256]
             new = list({w for words in part for w in words}.difference(self._place))
-            if len(self._place) + len(new) > len(self._rows):
+            if len(self._place) + len(new) > WORDS_KEPT:
                 self._place.clear()
                 new = list({w for words in part for w in words})
             start = len(self._place)
             if start + len(new) > len(self._rows):
-                self._rows = np.zeros((start + len(new), len(self.languages)), np.float32)
+                more = np.zeros((max(WORDS_KEPT, start + len(new)), len(self.languages)), np.float32)
+                more[:start] = self._rows[:start]
+                self._rows = more
             self._rows[start : start + len(new)] = self._score(new)
             self._place.update(zip(new, range(start, start + len(new)), strict=True))
             out += [self._best(words) for words in part]
@@ -185,6 +191,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def rows(columns):
         own = shared.value
+        holding("language", own.forget)
         found = own.predict_all([(t or b"").decode("utf-8", "replace") for t in columns["text"]])
         yield {"id": columns["id"], "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}
 

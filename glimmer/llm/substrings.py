@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, shared_path
+from .common import arrow_map, holding, materialize, shared_path
 from .fmindex import FmIndex
 
 #: Words of a window, and of the groups whose least hash is a window's anchor.
@@ -33,8 +33,10 @@ SHARD_WORDS = 500_000
 SHARED_BY = SHARD_WORDS // 25
 #: Windows of a stretch at most; a longer one is cut, into stretches that overlap by a window less one word.
 STRETCH = 64
+#: Bytes of compressed texts that are unpacked side by side.
+PACKED_BYTES = 1_000_000
 #: Words whose hashes a worker keeps.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 300_000
 #: What stands for a null id: larger than all, so that it is no other document's smaller one.
 NO_ID = (1 << 63) - 1
 
@@ -44,6 +46,7 @@ _MULTIPLIERS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) | 1 for i
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words, of which a worker keeps the commonest by starting anew now and then."""
+    holding("hashes", _hashes.clear)
     new = set(words).difference(_hashes)
     if new:
         if len(_hashes) > WORDS_KEPT:
@@ -163,7 +166,7 @@ def repeated(stored: DataFrame, window: int = WINDOW, group: int = GROUP) -> Dat
 
     with_lists = stored.where("not copy").join(lists, "uid").select("uid", "doc", "words", "cold", "hot")
     schema = "uid long, doc long, start long, shard long, content binary, digest binary"
-    found = arrow_map(with_lists, stretches, schema, weight="words")
+    found = arrow_map(with_lists, stretches, schema, weight="words", slice_bytes=PACKED_BYTES)
     any_hot = not lists.where(F.size("hot") > 0).isEmpty()
     if any_hot:
         found = materialize(found, "stretches")
@@ -240,7 +243,7 @@ def _kept(docs: DataFrame, id_col: str, text_col: str, window: int, group: int,
 
     schema = "doc long, n_words long, n_removed long, kept_sha256 string, kept string"
     schema += "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, carry or [], strict=True))
-    return arrow_map(stored.drop("anchors").join(spans, "uid", "left"), finish, schema, weight="words")
+    return arrow_map(stored.drop("anchors").join(spans, "uid", "left"), finish, schema, weight="words", slice_bytes=PACKED_BYTES)
 
 
 def digests(
