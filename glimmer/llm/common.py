@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handed to Python code in slices of about so many bytes.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 _holder: list[tuple[str, Callable[[], object]]] = []
 

@@ -19,7 +19,7 @@ ENTRIES = 30_000
 #: Lengths of the character n-grams that stand in for unseen words, longest first.
 ORDERS = (5, 4, 3, 2, 1)
 #: Words whose scores a worker keeps before it starts anew.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 200_000
 #: Words beyond which more evidence doesn't make the score surer.
 SURE_WORDS = 20
 UNDETERMINED = "und"
@@ -90,10 +90,9 @@ class Model:
 
     def predict_all(self, texts: list[str]) -> list[tuple[str, float]]:
         """Of each text the likeliest language and its share of the likelihood."""
-        split = [words_of(t) for t in texts]
         out = []
-        for at in range(0, len(split), 256):
-            part = split[at : at + 256]
+        for at in range(0, len(texts), 256):
+            part = [words_of(t) for t in texts[at : at + 256]]
             new = list({w for words in part for w in words}.difference(self._place))
             if len(self._place) + len(new) > WORDS_KEPT:
                 self._place.clear()
