@@ -248,7 +248,8 @@ def top_k(
     Components become floor(scale * x).  Vectors that are null or hold null or
     non-finite components, and rows without id, take no part; shorter vectors are
     taken with zeros behind; a query with fewer candidates gets all; equal scores
-    go to the smaller id; no row of a query's own id is its result.  Scores must
+    go to the smaller id; rows that are equal
+    in id and vector count once; no row of a query's own id is its result.  Scores must
     fit in a long.  An empty table gives an empty table.
     """
     data, n, dim = padded(valid(table, id_col, vector_col))

@@ -153,8 +153,8 @@ def nearest(
     searched in every shard; distances are those of the original vectors in
     double precision.  Vectors that are null, zero or hold null or non-finite
     components, and rows without id, take no part; shorter vectors are taken with
-    zeros behind; equal distances go to the smaller id; no row of a query's own id
-    is its result.  An empty table gives an empty table.
+    zeros behind; equal distances go to the smaller id; rows that are equal in id
+    and vector count once; no row of a query's own id is its result.  An empty table gives an empty table.
     """
     data, n, dim = padded(valid(table, id_col, vector_col, zero=False))
     asks, n_asks, own_dim = padded(valid(queries, id_col, vector_col, zero=False))

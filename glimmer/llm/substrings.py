@@ -267,9 +267,9 @@ def deduplicate(
 
     The other columns go along with the texts, so that nothing is joined back.
     """
-    marked = docs.withColumn("_null", F.col(text_col).isNull())
+    marked = docs.withColumn("_text_is_null", F.col(text_col).isNull())
     others = [c for c in marked.columns if c != text_col]
     out = _kept(marked, id_col, text_col, window, group, others)
     back = {c: F.col(f"carried_{i}") for i, c in enumerate(others)}
-    text = F.when(~back["_null"], F.col("kept"))
+    text = F.when(~back["_text_is_null"], F.col("kept"))
     return out.select(*[(text if c == text_col else back[c]).alias(c) for c in docs.columns])

@@ -30,7 +30,7 @@ def padded(rows: DataFrame) -> tuple[DataFrame, int, int]:
 
 
 def first_copies(rows: DataFrame, copies: int) -> DataFrame:
-    """Of each distinct vector the ``copies`` rows with the smallest ids.
+    """Of each distinct vector the ``copies`` rows with the smallest ids; equal rows count once.
 
     No list of up to ``copies`` neighbours can hold another one: equal vectors
     score alike, and ties go to smaller ids.  Spark trims each task's rows before
@@ -38,13 +38,14 @@ def first_copies(rows: DataFrame, copies: int) -> DataFrame:
     task.
     """
     window = Window.partitionBy("v").orderBy("id")
-    return rows.withColumn("_nth", F.row_number().over(window)).where(F.col("_nth") <= copies).drop("_nth")
+    nth = F.row_number().over(window)
+    return rows.distinct().withColumn("_nth", nth).where(F.col("_nth") <= copies).drop("_nth")
 
 
 def askers(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct query vectors ``rep, v`` (the smallest id that asks), and who asks for which: ``query_id, rep``."""
     reps = queries.groupBy("v").agg(F.min("id").alias("rep"))
-    return reps.select("rep", "v"), queries.join(reps, "v").select(F.col("id").alias("query_id"), "rep")
+    return reps.select("rep", "v"), queries.distinct().join(reps, "v").select(F.col("id").alias("query_id"), "rep")
 
 
 def ranked(found: DataFrame, asked: DataFrame, k: int, score: str, best_first: bool) -> DataFrame:
@@ -56,7 +57,7 @@ def ranked(found: DataFrame, asked: DataFrame, k: int, score: str, best_first: b
     per_rep = Window.partitionBy("rep").orderBy(by_score, "vec_id")
     top = found.withColumn("_nth", F.row_number().over(per_rep)).where(F.col("_nth") <= k + 1)
     joined = asked.join(top, "rep").where("query_id <> vec_id")
-    per_query = Window.partitionBy("query_id").orderBy("_nth")
+    per_query = Window.partitionBy("query_id", "rep").orderBy("_nth")
     out = joined.withColumn("rank", F.row_number().over(per_query)).where(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", score)
 

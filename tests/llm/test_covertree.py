@@ -8,6 +8,7 @@ SCHEMA = "vec_id long, embedding array<float>, score int"
 
 
 def brute(rows, k, step):
+    rows = list({str(r): r for r in rows}.values())
     ok = [(i, np.floor(64 * np.array(v, np.float32).astype(float)).astype(object)) for i, v in rows
           if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     dim = max((len(v) for _, v in ok), default=0)
@@ -37,6 +38,7 @@ def test_matches_brute_force(spark, small):
     rows = [(i, [float(x) for x in centers[i % 6] + 0.2 * rnd.normal(size=7)]) for i in range(150)]
     rows += [(200 + i, [0.5] * 7) for i in range(60)]  # one vector many times: ties
     rows += [(300, None), (304, [1.0, None] + [0.0] * 5), (308, [float("nan")] * 7), (312, [float("inf")] + [0.0] * 6)]
+    rows += rows[:9] + [(200, [0.5] * 7)] * 30  # rows that stand twice or more count once
     rows += [(316, [0.0] * 7), (320, [1.0, 2.0]), (None, [1.0] * 7), (324, [])]
     assert run(spark, rows) == brute(rows, 5, 4)
 

@@ -7,6 +7,7 @@ SCHEMA = "vec_id long, embedding array<float>, score int"
 
 
 def brute(rows, k, step):
+    rows = list({str(r): r for r in rows}.values())
     ok = [(i, np.array(v, np.float32).astype(float)) for i, v in rows
           if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     dim = max((len(v) for _, v in ok), default=0)
@@ -29,6 +30,7 @@ def test_matches_brute_force_on_few_rows(spark):
     rows = [(i, rnd.normal(size=6).tolist()) for i in range(120)]
     rows += [(200 + i, [0.5] * 6) for i in range(40)]  # one vector many times: ties
     rows += [(300, None), (304, [1.0, None] + [0.0] * 4), (308, [float("nan")] * 6), (312, [float("inf")] + [0.0] * 5)]
+    rows += rows[:9] + [(200, [0.5] * 6)] * 30  # rows that stand twice or more count once
     rows += [(316, [0.0] * 6), (320, [1.0, 2.0]), (None, [1.0] * 6), (324, [])]
     got, want = run(spark, rows, 4, shard_rows=50), brute(rows, 5, 4)
     assert [r[:3] for r in got] == [r[:3] for r in want]
