@@ -10,6 +10,7 @@ has it.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, holding, materialize, shared_path
+from .common import arrow_map, materialize, shared_path
 from .fmindex import FmIndex
 
 #: Words of a window, and of the groups whose least hash is a window's anchor.
@@ -35,33 +36,57 @@ SHARED_BY = SHARD_WORDS // 25
 STRETCH = 64
 #: Bytes of compressed texts that are unpacked side by side.
 PACKED_BYTES = 1_000_000
-#: Words whose hashes a worker keeps.
-WORDS_KEPT = 300_000
 #: What stands for a null id: larger than all, so that it is no other document's smaller one.
 NO_ID = (1 << 63) - 1
 
-_hashes: dict[bytes, int] = {}
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) | 1 for i in range(32)], np.uint64)
+#: Bytes whose words are hashed together, the base of their polynomial, and its powers and their inverses.
+_BLOCK, _BASE = 1 << 18, 0xD6E8FEB86659FD93
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words, of which a worker keeps the commonest by starting anew now and then."""
-    holding("hashes", _hashes.clear)
-    new = set(words).difference(_hashes)
-    if new:
-        if len(_hashes) > WORDS_KEPT:
-            _hashes.clear()
-            new = set(words)
-        digest = xxhash.xxh64_intdigest
-        _hashes.update((w, digest(w)) for w in new)
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    up, down = (np.full(_BLOCK, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
 
 
-def anchors(words: list[bytes], window: int = WINDOW, group: int = GROUP) -> np.ndarray:
-    """The anchor of each window, as signed longs."""
-    if len(words) < window:
+def word_hashes(joined: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text that are joined by single spaces.
+
+    A word's hash is a polynomial of its bytes modulo 2**64, a difference of two
+    prefix sums.  Words that share a hash make stretches meet that needn't; what
+    is equal is decided by the words themselves.
+    """
+    if not joined:
+        return np.zeros(0, np.uint64)
+    text = np.frombuffer(joined, np.uint8)
+    gaps = np.flatnonzero(text == 0x20)
+    starts, ends = np.append(0, gaps + 1), np.append(gaps, len(text))
+    up, down = _powers()
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        first = int(starts[at])
+        stop = int(np.searchsorted(ends, first + _BLOCK, side="right"))
+        if stop == at:  # longer than a block
+            out[at] = xxhash.xxh64_intdigest(joined[first : int(ends[at])])
+            at += 1
+            continue
+        part = text[first : int(ends[stop - 1])]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+        s, e = starts[at:stop] - first, ends[at:stop] - first
+        out[at:stop] = (sums[e] - sums[s]) * down[s]
+        at = stop
+    return out
+
+
+def anchors(joined: bytes, window: int = WINDOW, group: int = GROUP) -> np.ndarray:
+    """The anchor of each window of a text whose words are joined by single spaces, as signed longs."""
+    h = word_hashes(joined)
+    if len(h) < window:
         return np.zeros(0, np.int64)
-    h = word_hashes(words)
     n = len(h) - group + 1
     g = np.zeros(n, np.uint64)
     for i in range(group):
@@ -111,8 +136,9 @@ def _store(docs: DataFrame, id_col: str, text_col: str, window: int, group: int,
         for uid, doc, copy, t in zip(columns["uid"], columns["doc"], columns["copy"], columns["text"], strict=True):
             words = t.split()
             gone = copy and len(words) >= window
-            own = np.zeros(0, np.int64) if copy else np.unique(anchors(words, window, group))
-            sha = hashlib.sha256(b"" if gone else b" ".join(words)).hexdigest()
+            joined = b"" if gone else b" ".join(words)
+            own = np.zeros(0, np.int64) if copy else np.unique(anchors(joined, window, group))
+            sha = hashlib.sha256(joined).hexdigest()
             for k, v in zip(out, (uid, doc, copy, len(words), sha, b"" if gone else squeeze(t), own.tolist()), strict=True):
                 out[k].append(v)
         yield out | {k: columns[k] for k in names}
@@ -153,7 +179,7 @@ def repeated(stored: DataFrame, window: int = WINDOW, group: int = GROUP) -> Dat
         out = {k: [] for k in ("uid", "doc", "start", "shard", "content", "digest")}
         for uid, doc, blob, cold, hot in zip(*(columns[k] for k in ("uid", "doc", "words", "cold", "hot")), strict=True):
             words = _words(blob)
-            own = anchors(words, window, group)
+            own = anchors(b" ".join(words), window, group)
             made = [(a, int(own[a]) % n_shards, b" ".join(words[a : b + window - 1]), None) for a, b in _runs(own, np.array(cold, np.int64))]
             for a, b in _runs(own, np.array(hot, np.int64)) if hot else ():
                 for i in range(a, b):

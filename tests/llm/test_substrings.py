@@ -6,7 +6,7 @@ import pytest
 
 from glimmer.llm import substrings
 from glimmer.llm.fmindex import FmIndex, WaveletMatrix
-from glimmer.llm.substrings import anchors, deduplicate, digests
+from glimmer.llm.substrings import anchors, deduplicate, digests, word_hashes
 
 SCHEMA = "doc_id long, text string, uid int"
 
@@ -37,10 +37,20 @@ def test_equal_windows_have_equal_anchors():
     rnd = random.Random(1)
     words = [rnd.choice([b"a", b"b", b"cc", b"dd"]) for _ in range(400)]
     seen = {}
-    for i, a in enumerate(anchors(words, 6, 2).tolist()):
+    for i, a in enumerate(anchors(b" ".join(words), 6, 2).tolist()):
         assert seen.setdefault(tuple(words[i : i + 6]), a) == a
 
 
+def test_word_hashes(monkeypatch):
+    words = [b"a", b"b", b"ab", b"ba", b"aa", b"\x00", b"\x00\x00", "é".encode(), b"a", b"x" * 300, b"x" * 300, b"x" * 299]
+    hashes = word_hashes(b" ".join(words))
+    assert len(hashes) == len(words) and len(set(hashes.tolist())) == len(set(words))
+    assert hashes[0] == hashes[8] and hashes[9] == hashes[10]
+    monkeypatch.setattr(substrings, "_BLOCK", 64)  # the same in other blocks, but for words longer than one
+    assert word_hashes(b" ".join(words)).tolist()[:9] == hashes.tolist()[:9]
+    assert word_hashes(b"").tolist() == []
+
+
 def brute(rows, window):
     seen = {}
     split = [(NO if d is None else d, (t or "").encode().split()) for d, t in rows]
