@@ -345,7 +345,7 @@ class Bpe:
         for text in texts:
             if not text:
                 split.append([])
-            elif self._special and "<|" in text:
+            elif any(map(text.__contains__, self.special)):
                 pieces = self._special.split(text)
                 split.append([self.special[p] if i % 2 else self.words(p) for i, p in enumerate(pieces)])
             else:

@@ -8,6 +8,7 @@ blob, and findings are joined back to every document that has the blob.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -73,7 +74,7 @@ def _spans(text: Column, rule: Rule, nth: int) -> Column:
 
     found = F.aggregate(sized, start, step, lambda state: state["found"])
     # most texts have no match that counts: one look tells, without arrays
-    return F.when(text.rlike(_present(rule)), found).otherwise(empty)
+    return F.when(text.rlike(pattern), found).otherwise(empty)
 
 
 def _screened(rule: Rule) -> str:
@@ -82,16 +83,12 @@ def _screened(rule: Rule) -> str:
     Holds for a run of one class that is taken whole: a shorter run can't hold a
     longer one.  Not for an assignment, whose short value may hold a key's name.
     """
-    if rule.value == 0 and rule.pattern.endswith("]+"):
-        head = rule.pattern[: rule.pattern.index("[")]
-        return f"{rule.pattern[:-1]}{{{rule.least - len(head)},}}"
+    head, _, tail = rule.pattern.partition("[")
+    if rule.value == 0 and re.fullmatch(r"[A-Za-z0-9]*", head) and re.fullmatch(r"[A-Za-z0-9-]+\]\+", tail):
+        return f"{rule.pattern[:-1]}{{{max(1, rule.least - len(head))},}}"
     return rule.pattern
 
 
-def _present(rule: Rule) -> str:
-    return _screened(rule)
-
-
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``blob, kind, version, spans`` of each row ``blob, text`` and each rule."""
     made = [
