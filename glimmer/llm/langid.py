@@ -155,27 +155,25 @@ def fit(
         }
 
     counted = arrow_map(rows, count, "lang string, kind int, gram string, n long", weight="text")
-    by_lang = counted.groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))
+    by_lang = materialize(counted.groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n")), "counts")
     counted = by_lang.groupBy("kind", "gram").agg(
         F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")
     )
-    counted = materialize(counted, "grams")
-    kinds = (0, *ORDERS)
-    kept = {k: counted.where(F.col("kind") == k).orderBy(F.desc("n"), "gram").limit(entries).collect() for k in kinds}
-    languages = sorted({lang for r in kept[1] for lang in r.by_lang})
+    counted = materialize(counted, "grams")  # a row for each gram, with as many counts as there are languages
+    languages = sorted(r[0] for r in by_lang.select("lang").distinct().collect())
     place = {lang: i for i, lang in enumerate(languages)}
     tables: dict[int, dict[str, int]] = {}
     logs: list[np.ndarray] = []
-    for kind in kinds:
-        n = np.zeros((len(kept[kind]), len(languages)))
-        for i, r in enumerate(kept[kind]):
+    for kind in (0, *ORDERS):  # one order's entries at a time
+        kept = counted.where(F.col("kind") == kind).orderBy(F.desc("n"), "gram").limit(entries).collect()
+        n = np.zeros((len(kept), len(languages)))
+        for i, r in enumerate(kept):
             for lang, k in r.by_lang.items():
-                if lang in place:
-                    n[i, place[lang]] = k
-        tables[kind] = {r.gram: len(logs) + i for i, r in enumerate(kept[kind])}
-        total = n.sum(axis=0) + 0.5 * max(1, len(n))
-        logs += list(np.log((n + 0.5) / total))
-    return Model(languages, tables, np.array(logs, np.float32).reshape(len(logs), len(languages)))
+                n[i, place[lang]] = k
+        start = sum(map(len, logs))
+        tables[kind] = {r.gram: start + i for i, r in enumerate(kept)}
+        logs.append(np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * max(1, len(n)))).astype(np.float32))
+    return Model(languages, tables, np.concatenate(logs))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
