@@ -8,8 +8,9 @@ from typing import Any
 
 @dataclass(frozen=True)
 class Params:
-    """Parameters of the run pipeline.  Unknown names are an error; see :data:`PRESETS`."""
+    """Parameters of the run pipeline.  Unknown names are an error; see ``PRESETS``."""
 
+    # The defaults.
     first_frame: int = 0
     normalize: bool = True
     time_segment_size: int = 50
@@ -52,7 +53,7 @@ class Params:
         return [(k, str(v)) for k, v in sorted(asdict(self).items())]
 
 
-#: Overrides for the four groups of recordings and for training data.
+# The overrides for the groups of recordings and for training data.
 PRESETS: dict[str, dict[str, Any]] = {
     "l1": {"signal_method": "med-min", "polarity": -1, "area_threshold_min": 20, "area_threshold_max": 200, "tile_strides": (8, 8), "motion_y_range": 0.5},
     "teg": {"signal_method": "med-min", "polarity": -1, "area_threshold_min": 120, "area_threshold_max": 600, "tile_strides": (12, 12), "motion_x_range": 0.5, "motion_y_range": 0.5},
