@@ -125,8 +125,9 @@ def _store(docs: DataFrame, id_col: str, text_col: str, window: int, group: int,
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), text.alias("text"), *along)
     names = [f"carried_{i}" for i in range(len(carry))]
     rows = rows.select(F.xxhash64("doc", "text").alias("uid"), "doc", F.col("text").cast("binary").alias("text"), *names)
-    narrow = rows.select("uid", "doc", F.md5("text").alias("digest"))
-    least = narrow.groupBy("digest").agg(F.min("doc").alias("least"))
+    # tables, so that the join's two sides are plain exchanges and a text that many documents share can be split
+    narrow = materialize(rows.select("uid", "doc", F.unhex(F.md5("text")).alias("digest")), "digests")
+    least = materialize(narrow.groupBy("digest").agg(F.min("doc").alias("least")), "least")
     copies = narrow.join(least, "digest").groupBy("uid").agg(F.max(F.col("doc") > F.col("least")).alias("copy"))
     joined = rows.join(copies, "uid")
 
