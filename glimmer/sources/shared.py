@@ -13,7 +13,7 @@ def shared_path(spark: SparkSession, what: str) -> str:
     """A new path in ``spark.checkpoint.dir``; a folder of this machine only where a local session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"file://{os.path.join(tempfile.gettempdir(), f'glimmer-{os.getpid()}')}"
     return f"{named.rstrip('/')}/{what}-{uuid.uuid4().hex}"
