@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import bpe
+from .bpe import ENCODED_BYTES, bpe
 from .common import slices
 from .tokens import crc32
 
@@ -75,7 +75,7 @@ def write(
         file_no, place, n = TaskContext.get().partitionId(), 0, 0
         own = bpe(vocabulary, speculate=False)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", ENCODED_BYTES):
                 texts = [(t or b"").decode("utf-8", "replace") for t in part.column("text").to_pylist()]
                 data, records = [], []
                 for doc, ids in zip(part.column("doc").to_pylist(), own.ids(texts), strict=True):

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import bpe
+from .bpe import ENCODED_BYTES, bpe
 from .common import arrow_map, materialize
 from .tokens import crc32
 
@@ -178,7 +178,7 @@ def pieces(
         yield out
 
     schema = "doc long, key long, start long, length long, crc long, doc_tokens long"
-    return arrow_map(_keyed(docs, id_col, text_col), rows, schema, weight="text")
+    return arrow_map(_keyed(docs, id_col, text_col), rows, schema, weight="text", slice_bytes=ENCODED_BYTES)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

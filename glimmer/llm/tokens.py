@@ -8,7 +8,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import bpe
+from .bpe import ENCODED_BYTES, bpe
 from .common import arrow_map
 
 
@@ -35,7 +35,7 @@ def encode(
         ids = [i + end for i in bpe(vocabulary).ids(_texts(columns))]
         yield {"id": columns["id"], "ids": ids, "n_tokens": [len(i) // 4 for i in ids]}
 
-    out = arrow_map(_narrow(docs, id_col, text_col), rows, "id long, ids binary, n_tokens long", weight="text")
+    out = arrow_map(_narrow(docs, id_col, text_col), rows, "id long, ids binary, n_tokens long", weight="text", slice_bytes=ENCODED_BYTES)
     return out.withColumnRenamed("id", id_col)
 
 
@@ -64,7 +64,7 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
         }
 
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return arrow_map(_narrow(docs, id_col, text_col), rows, schema, weight="text").withColumnRenamed("id", id_col)
+    return arrow_map(_narrow(docs, id_col, text_col), rows, schema, weight="text", slice_bytes=ENCODED_BYTES).withColumnRenamed("id", id_col)
 
 
 def crc32(data: bytes) -> int:
