@@ -23,11 +23,11 @@ _BEST = f"""{_NCC}, k AS (SELECT *, dx + 1 AS i, dy + 1 AS j, greatest(corr, 0)
 
 
 def _video(spark, d):
-    return video(spark, d).where("frame < 60").withColumnRenamed("adu", "v")
+    return video(spark, d).withColumnRenamed("adu", "v")
 
 
 def _corr(spark, d):
-    v = _video(spark, d)
+    v = _video(spark, d).where("frame < 60")  # as in the SQL
     return motion.correlations(v.where("frame > 0"), v.where("frame = 0"), _SEARCH, SIDE, SIDE)
 
 
