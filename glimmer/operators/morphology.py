@@ -184,13 +184,14 @@ def convex_area(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return pixels.groupBy(*keys).applyInPandas(over, schema)
 
 
-def demix(masks: DataFrame, height: int, width: int, area_min: int, binarize: float = 0.95, least: float = 0.8, rounds: int = 20) -> DataFrame:
+def demix(masks: DataFrame, height: int, width: int, area_min: int, binarize: float = 0.95, least: float = 0.8) -> DataFrame:
     """``component, y, x`` of overlapping time-varying masks ``grp, seg, y, x`` by repeated rank-one factorization.
 
     Each round takes the leading non-negative pair of the mask matrix, accepts the
     connected parts of its thresholded footprint, subtracts what they explain and
-    binarizes the rest, until nothing is accepted or too little is explained.  A
-    group is one cluster of touching masks.
+    binarizes the rest, until nothing is accepted, too little is explained or the
+    rest stays the same (it only ever shrinks).  A group is one cluster of touching
+    masks.
     """
 
     def over(frame: pd.DataFrame) -> pd.DataFrame:
@@ -199,9 +200,7 @@ def demix(masks: DataFrame, height: int, width: int, area_min: int, binarize: fl
         x[[segs[s] for s in frame["seg"]], frame["y"] * width + frame["x"]] = 1.0
         found: list[tuple[int, int, int]] = []
         n = 0
-        for _ in range(rounds):
-            if not x.any():
-                break
+        while x.any():
             u, s, vt = np.linalg.svd(x, full_matrices=False)
             weight, image = np.abs(u[:, 0]) * s[0], np.abs(vt[0])
             unit = image.max()
@@ -218,7 +217,10 @@ def demix(masks: DataFrame, height: int, width: int, area_min: int, binarize: fl
             explained = np.outer(weight, np.where(accepted, image, 0))
             if not accepted.any() or explained.max() < least:
                 break
-            x = (x - explained > binarize).astype(float)
+            rest = (x - explained > binarize).astype(float)
+            if np.array_equal(rest, x):
+                break
+            x = rest
         out = pd.DataFrame(found, columns=["component", "y", "x"])
         out.insert(0, "grp", frame["grp"].iloc[0])
         return out

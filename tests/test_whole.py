@@ -2,6 +2,7 @@
 
 import pytest
 
+from glimmer.operators import morphology
 from glimmer.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -15,3 +16,17 @@ def frames(spark):
 def test_motion_covers_all_frames(spark, name):
     got = {r.frame for r in registry.queries()[name](spark, SF).select("frame").distinct().collect()}
     assert max(got) >= 60 and got | {0} == frames(spark)
+
+
+def test_demix_goes_on_beyond_twenty_rounds(spark):
+    rows, seg = [], 0
+    for i in range(30):  # squares that are active alone, each in more segments than the one before
+        for _ in range(i + 1):
+            rows += [(0, seg, 3 * (i // 6) + a, 3 * (i % 6) + b) for a in (0, 1) for b in (0, 1)]
+            seg += 1
+    got = morphology.demix(spark.createDataFrame(rows, "grp long, seg long, y long, x long"), 18, 18, 3).collect()
+    parts = {}
+    for r in got:
+        parts.setdefault(r.component, set()).add((r.y, r.x))
+    want = [{(3 * (i // 6) + a, 3 * (i % 6) + b) for a in (0, 1) for b in (0, 1)} for i in range(30)]
+    assert sorted(map(sorted, parts.values())) == sorted(map(sorted, want))
