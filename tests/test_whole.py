@@ -30,3 +30,8 @@ def test_demix_goes_on_beyond_twenty_rounds(spark):
         parts.setdefault(r.component, set()).add((r.y, r.x))
     want = [{(3 * (i // 6) + a, 3 * (i % 6) + b) for a in (0, 1) for b in (0, 1)} for i in range(30)]
     assert sorted(map(sorted, parts.values())) == sorted(map(sorted, want))
+
+
+def test_tv_denoise_covers_all_frames(spark):
+    got = {r.seg for r in registry.queries()["tv_denoise"](spark, SF).select("seg").distinct().collect()}
+    assert max(got) >= 20 and got == frames(spark)
