@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from glimmer.operators import compare, generators
 from glimmer.plans.registry import query
-from glimmer.sources.views import SIDE, ev, frame_rows, trace, video
+from glimmer.sources.views import SIDE, every_ev, frame_rows, trace, video
 
 
 def _r(df, *columns, digits=6):
@@ -70,12 +70,12 @@ def synthetic_labels(spark, d):
 
 @query("lstsq_traces")
 def lstsq_traces(spark, d):
-    return _r(compare.least_squares_traces(video(spark, d), ev(spark, d)), "v", digits=4)
+    return _r(compare.least_squares_traces(video(spark, d), every_ev(spark, d)), "v", digits=4)
 
 
 @query("peak_to_peak")
 def peak_to_peak(spark, d):
-    return _r(compare.peak_to_peak(compare.least_squares_traces(video(spark, d), ev(spark, d))), "v", digits=4)
+    return _r(compare.peak_to_peak(compare.least_squares_traces(video(spark, d), every_ev(spark, d))), "v", digits=4)
 
 
 @query("background_svd")

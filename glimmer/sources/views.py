@@ -52,7 +52,12 @@ def gt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "supplier").where("s_suppkey <= 20")
+    return every_ev(spark, sf_dir).where("roi <= 20")
+
+
+def every_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ev`` of all suppliers, for queries without SQL."""
+    rows = table(spark, sf_dir, "supplier")
     return _squares(rows, "s_suppkey", "(s_suppkey * 7 + 1) % 6", "(s_suppkey div 4) % 6")
 
 

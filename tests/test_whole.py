@@ -35,3 +35,21 @@ def test_demix_goes_on_beyond_twenty_rounds(spark):
 def test_tv_denoise_covers_all_frames(spark):
     got = {r.seg for r in registry.queries()["tv_denoise"](spark, SF).select("seg").distinct().collect()}
     assert max(got) >= 20 and got == frames(spark)
+
+
+@pytest.mark.parametrize("name", ["lstsq_traces", "peak_to_peak"])
+def test_traces_cover_all_regions(spark, name):
+    sf = "/root/testdata/sf0.01"  # more than 21 suppliers
+    rois = {r.s_suppkey for r in spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey").collect()}
+    got = {r.roi for r in registry.queries()[name](spark, sf).select("roi").distinct().collect()}
+    assert max(got) > 20 and got == rois
+
+
+def test_matched_counts_take_all_regions(spark):
+    sf = "/root/testdata/sf0.01"
+    from glimmer.operators import matching
+    from glimmer.sources.views import every_ev, gt
+
+    assert every_ev(spark, sf).select("roi").distinct().count() == spark.read.parquet(f"{sf}/supplier.parquet").count()
+    want = matching.matched_counts(matching.iou_matrix(every_ev(spark, sf), gt(spark, sf))).collect()
+    assert sorted(registry.queries()["matched_counts"](spark, sf).collect()) == sorted(want)
