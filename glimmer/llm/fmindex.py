@@ -1,8 +1,11 @@
-"""An FM-index over symbol sequences, with batched backward search and clipped matching statistics."""
+"""A compressed FM-index over symbol sequences, and matching statistics of streamed sequences."""
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
+import zstandard
 
 
 class WaveletMatrix:
@@ -15,13 +18,13 @@ class WaveletMatrix:
         for b in range(self.bits - 1, -1, -1):
             ones = (seq >> b & 1).astype(bool)
             packed = np.packbits(np.append(ones, np.zeros(-len(ones) % 64 + 64, bool)), bitorder="little").view("<u8")
-            counts = np.bitwise_count(packed).astype(np.int64)
+            counts = np.bitwise_count(packed).astype(np.int32)
             self.words.append(packed)
-            self.before.append(np.cumsum(counts) - counts)
+            self.before.append(np.cumsum(counts, dtype=np.int32) - counts)
             self.zeros.append(len(ones) - int(counts.sum()))
             seq = np.concatenate([seq[~ones], seq[ones]])
         every = np.arange(symbols)
-        self.first = self._descend(every, np.zeros(symbols, np.int64))
+        self.first = self._descend(every, np.zeros(symbols, np.int64)).astype(np.int32)
 
     def _descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where the first ``at`` places of the sequence end for a symbol, in the last level's order."""
@@ -38,12 +41,16 @@ class WaveletMatrix:
 
 
 class FmIndex:
-    """Sequences of symbols 1 to ``symbols`` - 1, each followed by a 0, with a value each, searched for windows.
+    """Sequences of symbols 1 to ``symbols`` - 1, each followed by a 0, with a value each.
+
+    Holds the wavelet matrix of the Burrows-Wheeler transform, the symbols'
+    counts, the common prefixes of neighbouring suffixes in half a byte each
+    (cut off at ``window``), and one value, the least, for each class of suffixes
+    that share ``window`` symbols; the suffix array and the sequences are let go.
 
     Suffixes are sorted by their first symbols only, more of them than a search
     looks at; the interval of a pattern no longer than that is the same as in the
-    full order.  Suffixes that share their first ``window`` symbols are a class,
-    of which the least value is kept.
+    full order.
     """
 
     def __init__(self, sequences: list[np.ndarray], values: np.ndarray, symbols: int, window: int) -> None:
@@ -54,35 +61,62 @@ class FmIndex:
         inside = np.ones(len(text), bool)
         inside[starts + sizes] = False
         text[inside] = np.concatenate(sequences) if sequences else text[:0]
-        n = len(text)
-        rank, known, half = text, 1, None
-        while True:
-            if known * 2 > window and half is None:
-                half = (rank, known)  # with two looks, `window` symbols
-            if known > window + 1:
-                break
-            ahead = np.zeros(n, np.int64)
+        n = self.n = len(text)
+        ranks, known = [text.astype(np.int32)], 1  # by the first 1, 2, 4 ... symbols
+        while known <= window:
+            ahead, rank = np.zeros(n, np.int64), ranks[-1].astype(np.int64)
             ahead[: n - known] = rank[known:] + 1
             key = rank * (int(ahead.max(initial=0)) + 1) + ahead
             order = np.argsort(key, kind="stable")
             key = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.append(0, key[1:] != key[:-1]))
+            made = np.empty(n, np.int32)
+            made[order] = np.cumsum(np.append(0, key[1:] != key[:-1]))[:n]
+            ranks.append(made)
             known *= 2
-        order = np.argsort(rank, kind="stable")
-        near, far = half[0], np.full(n, -1, np.int64)
-        far[: n - (window - half[1])] = near[window - half[1] :]
-        a, b = near[order], far[order]
-        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if n else np.zeros(0, bool)
-        begin = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        self.low, self.high = begin[group], np.append(begin[1:], n)[group]
+        order = np.argsort(ranks.pop(), kind="stable")
+        common = self._common(order, ranks, known)
         owner = np.repeat(values, sizes + 1)[order]
-        self.least = np.minimum.reduceat(owner, begin)[group] if n else owner
-        bwt = text[order - 1] if n else text
+        first = np.flatnonzero(common < window)
+        self.least = np.minimum.reduceat(owner, first) if n else owner
+        self._common_packed = common[0::2] | np.append(common, np.uint8(0))[1::2][: len(common[0::2])] << 4 if window < 16 else common
         counts = np.bincount(text, minlength=symbols)
         self.smaller = np.cumsum(counts) - counts
-        self.n, self.wavelet = n, WaveletMatrix(bwt, symbols)
+        self.wavelet = WaveletMatrix(text[order - 1] if n else text, symbols)
+
+    def _common(self, order: np.ndarray, ranks: list[np.ndarray], known: int) -> np.ndarray:
+        """How many symbols each suffix shares with the one before it, cut off at the window; 0 for the first."""
+        n = self.n
+        a, b = order[:-1].copy(), order[1:].copy()
+        shared = np.zeros(max(0, n - 1), np.int64)
+        for rank in reversed(ranks):  # 2**k symbols at a time, the longest first
+            known //= 2
+            inside = np.flatnonzero((a < n) & (b < n))
+            same = inside[rank[a[inside]] == rank[b[inside]]]
+            shared[same] += known
+            a[same] += known
+            b[same] += known
+        return np.minimum(np.append(0, shared)[:n], self.window).astype(np.uint8)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_borders"}
+
+    def to_bytes(self) -> bytes:
+        """The index as bytes, compressed."""
+        return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(self, 5))
+
+    @staticmethod
+    def from_bytes(data: bytes) -> FmIndex:
+        return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+
+    def borders(self, length: int) -> np.ndarray:
+        """Where suffixes begin to differ from those before in their first ``length`` symbols."""
+        made = self.__dict__.setdefault("_borders", {})
+        if length not in made:
+            common = self._common_packed
+            if self.window < 16:
+                common = np.column_stack([common & 15, common >> 4]).ravel()[: self.n]
+            made[length] = np.append(np.flatnonzero(common < length), self.n).astype(np.int32)
+        return made[length]
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One step of backward search: the intervals of the patterns with a symbol in front."""
@@ -90,56 +124,57 @@ class FmIndex:
         both = self.wavelet.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
         return base + both[: len(symbol)], base + both[len(symbol) :]
 
-    def least_values(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
-        """Of each streamed sequence, for each window, the least value of the indexed sequences that hold it.
+    def matches(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Matching statistics of streamed sequences, which stand one after the other in ``flat``.
+
+        Of each place the length of the longest match with the index that begins
+        there, cut off at the window, and the least value of the indexed
+        sequences that hold the window (the largest integer, if none does).
+        Symbols that the index hasn't are -1.
 
-        Matching statistics from right to left, clipped at the window: after each
-        step to the left the match is cut back to the window's length, which is
-        its class's interval.  A window that isn't there has the largest integer.
+        All sequences are searched side by side from right to left.  Where a
+        match can't be extended it gives up its last symbols, one after the other
+        (the interval widens to the shorter pattern's), until it can.
         """
         w, none = self.window, np.iinfo(np.int64).max
-        sizes = np.fromiter(map(len, sequences), np.int64, len(sequences))
+        length, least = np.zeros(len(flat), np.int64), np.full(len(flat), none, np.int64)
         lanes = np.argsort(-sizes, kind="stable")
-        out = [np.full(max(0, len(s) - w + 1), none, np.int64) for s in sequences]
-        if not len(lanes) or not self.n:
-            return out
-        size, flat = sizes[lanes], np.concatenate(sequences)
-        ends = np.cumsum(sizes)[lanes]
-        values = np.full(len(flat), none, np.int64)
+        if not len(flat) or not self.n:
+            return length, least
+        size, ends = sizes[lanes], np.cumsum(sizes)[lanes]
         low, high = np.zeros(len(lanes), np.int64), np.full(len(lanes), self.n, np.int64)
-        length = np.zeros(len(lanes), np.int64)
+        have = np.zeros(len(lanes), np.int64)
         for step in range(int(size.max())):
             live = int(np.searchsorted(-size, -step, side="left"))  # lanes that are longer than `step`
             at = ends[:live] - 1 - step
-            lo, hi = self.extend(flat[at], low[:live], high[:live])
-            length[:live] += 1
-            gone = lo >= hi
-            if gone.any():  # begin anew with the longest match to the right that can still be a window
-                lo, hi = self._again(flat, at, ends[:live], lo, hi, length[:live], gone)
-            full = np.flatnonzero(length[:live] >= w)
-            cut = full[length[full] > w]
-            hi[cut] = self.high[lo[cut]]
-            lo[cut] = self.low[lo[cut]]
-            length[cut] = w
-            values[at[full]] = self.least[lo[full]]
-            low[:live], high[:live] = lo, hi
-        begins = np.cumsum(sizes) - sizes
-        for i, b in enumerate(begins.tolist()):
-            out[i][:] = values[b : b + len(out[i])]
-        return out
-
-    def _again(self, flat, at, ends, lo, hi, length, gone):
-        """For lanes whose match has ended, the longest pattern from ``at`` on that is there, of those shorter than before."""
-        for lane in np.flatnonzero(gone).tolist():
-            first, best = int(at[lane]), (0, self.n, 0)
-            for n in range(int(length[lane]) - 1, 0, -1):
-                a, b = np.array([0]), np.array([self.n])
-                for p in range(first + n - 1, first - 1, -1):
-                    a, b = self.extend(flat[p : p + 1], a, b)
-                    if a[0] >= b[0]:
-                        break
-                if a[0] < b[0]:
-                    best = (int(a[0]), int(b[0]), n)
-                    break
-            lo[lane], hi[lane], length[lane] = best
-        return lo, hi
+            symbol = flat[at]
+            lo, hi, n = low[:live], high[:live], have[:live]
+            self._shorten(lo, hi, n, np.flatnonzero(n >= w), w - 1)
+            todo = np.flatnonzero(symbol >= 0)
+            unknown = np.flatnonzero(symbol < 0)
+            lo[unknown], hi[unknown], n[unknown] = 0, self.n, 0
+            while len(todo):
+                a, b = self.extend(symbol[todo], lo[todo], hi[todo])
+                found = a < b
+                hit, miss = todo[found], todo[~found]
+                lo[hit], hi[hit] = a[found], b[found]
+                n[hit] += 1
+                # a symbol that isn't there at all leaves an empty match
+                todo = miss[n[miss] > 0]
+                for k in np.unique(n[todo]).tolist():
+                    self._shorten(lo, hi, n, todo[n[todo] == k], k - 1)
+            length[at] = n
+            full = np.flatnonzero(n == w)
+            least[at[full]] = self.least[np.searchsorted(self.borders(w)[:-1], lo[full], side="right") - 1]
+        return length, least
+
+    def _shorten(self, low: np.ndarray, high: np.ndarray, have: np.ndarray, lanes: np.ndarray, length: int) -> None:
+        """Widen the lanes' intervals to those of their patterns' first ``length`` symbols."""
+        if not len(lanes):
+            return
+        if length == 0:
+            low[lanes], high[lanes], have[lanes] = 0, self.n, 0
+            return
+        borders = self.borders(length)
+        at = np.searchsorted(borders, low[lanes], side="right")
+        low[lanes], high[lanes], have[lanes] = borders[at - 1], borders[at], length
