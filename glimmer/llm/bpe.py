@@ -25,7 +25,7 @@ from .common import holding
 WORDS_KEPT = 300_000
 #: Bytes of texts that are encoded together: the more, the fewer words are looked up twice.
 ENCODED_BYTES = 4_000_000
-#: Longest word whose ids are kept, in characters.
+#: Longest word whose ids are kept, and that is merged beside others if its proposal fails, in characters.
 LONGEST_KEPT = 64
 _PAIR_SLOTS = 1 << 20
 #: Slots of the table of merges, and what spreads its keys over them.
@@ -309,20 +309,15 @@ class Bpe:
         return "".join(map(self._table.__getitem__, word.encode()))
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
-        """Of each word the ids as little-endian unsigned 32-bit integers."""
+        """Of each word, however long, the ids as little-endian unsigned 32-bit integers."""
         words = list(words)
-        out: dict[str, bytes] = {}
-        short = [w for w in words if len(w) <= LONGEST_KEPT]
-        if self.speculate:
-            out, failed = self._verified(short)
-        else:
-            failed = short
-        if failed:
-            out.update(zip(failed, self.merge_many([w.encode() for w in failed]), strict=True))
-        if len(short) < len(words):
-            out.update((w, np.array(self.merge(self._symbols(w)), "<u4").tobytes()) for w in words if len(w) > LONGEST_KEPT)
+        out, failed = self._verified(words) if self.speculate else ({}, words)
+        short = [w for w in failed if len(w) <= LONGEST_KEPT]  # merged side by side, where a long one would widen all
+        if short:
+            out.update(zip(short, self.merge_many([w.encode() for w in short]), strict=True))
+        out.update((w, np.array(self.merge(self._symbols(w)), "<u4").tobytes()) for w in failed if len(w) > LONGEST_KEPT)
         self.counts["words"] += len(words)
-        self.counts["merged"] += len(words) - len(short) + len(failed)
+        self.counts["merged"] += len(failed)
         return out
 
     def _verified(self, words: list[str]) -> tuple[dict[str, bytes], list[str]]:

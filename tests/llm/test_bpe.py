@@ -68,6 +68,16 @@ def test_merge_short_and_long_agree(monkeypatch):
     assert [own.merge(w) for w in words] == short
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_long_words_are_proposed_and_verified_too(name):
+    own, library = Bpe(public_tokenizers.path(name)), BOTH[name][1]
+    words = ["information" * 40, "a" * 200, "then" * 500, "qxz" * 100]
+    made = own.encode_words(words)
+    assert own.counts["merged"] < len(words)
+    for w in words:
+        assert np.frombuffer(made[w], "<u4").tolist() == library.encode(w, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_without_speculation(name):
     own, library = Bpe(public_tokenizers.path(name), speculate=False), BOTH[name][1]
