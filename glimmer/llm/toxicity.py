@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -16,44 +17,61 @@ from .common import arrow_map, materialize, sampled
 
 #: Labelled documents that a model is fitted on, about, at most.
 TRAINING_DOCS = 20_000
-#: Lexicon entries that are looked at, by the toxic documents that have them, and that a model keeps.
-CANDIDATES, ENTRIES = 100_000, 5_000
 #: Toxic documents that must have an entry, and how much oftener toxic documents must have it (natural logarithm).
 LEAST_DOCS, LEAST_WEIGHT = 4, 1.5
 #: Lengths of the word beginnings that are entries besides whole words.
 STEMS = (4, 5, 6, 7, 8)
-#: Phrases that excuse an entry, at most.
-EXCEPTIONS = 5_000
 #: Share of toxic documents among those that have a phrase, up to which it excuses the entry in it.
 EXCUSED_SHARE = 0.1
 
-# Letters of other alphabets that look like Latin ones, in the same order.
-_LOOK_ALIKE = "абвгдеёзікмноопрстухѕјԁαβεικνορτυχ"
-_LATIN_LIKE = "a6brdee3ikmhoonpctyxsjdabeikvoptux"
+# Letters of other alphabets that look like Latin ones, with the letter each looks like.
+_LOOK_ALIKES = {
+    "а": "a", "б": "b", "в": "b", "г": "r", "е": "e", "з": "e", "и": "u", "к": "k", "м": "m", "н": "h", "о": "o",
+    "п": "n", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "ь": "b", "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d",
+    "ԛ": "q", "ԝ": "w", "һ": "h", "ӏ": "l", "α": "a", "β": "b", "γ": "y", "ε": "e", "η": "n", "ι": "i", "κ": "k",
+    "μ": "u", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ł": "l",
+    "ø": "o", "đ": "d", "ħ": "h", "ŧ": "t",
+}
 # Digits and signs that stand for letters.
 _DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 _SIGNS = {"@": "a", "$": "s", "!": "i"}
 
-_fold = str.maketrans(dict(zip(_LOOK_ALIKE, _LATIN_LIKE, strict=True)) | _DIGITS)
-_alike = re.compile(f"[{_LOOK_ALIKE}]").search
+_to_latin, _to_letters = str.maketrans(_LOOK_ALIKES), str.maketrans(_DIGITS)
+# accents that stand by themselves after decomposition, soft hyphens, and signs without width
+_invisible = re.compile("[\u0300-\u036f\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]+")
 _inner_sign = re.compile(r"(?<=[^\W_])[@$!]+(?=[^\W_])|(?<![^\W_@$!])[@$](?=[^\W_])")
+_with_digit = re.compile(r"[^\W_]*\d[^\W_]*")
 _letters = re.compile(r"[^\W\d_]+").findall
 
 
+def _spelt(run: re.Match) -> str:
+    """A run of letters and digits with its digits as letters; a number stays one."""
+    return run[0].translate(_to_letters) if _letters(run[0]) else run[0]
+
+
 def fold(text: str) -> str:
-    """The words of a text with a space around each, lower case, look-alikes and digits folded."""
+    """The words of a text with a space around each, lower case, look-alikes and digits folded.
+
+    Full-width and other compatibility forms, accents and signs without width go
+    first; then letters of other alphabets become the Latin ones they look like
+    (others stay, so no word is torn); then signs between letters, and the digits
+    of words that have a letter, become letters.
+    """
     text = text.lower()
+    if not text.isascii():
+        text = _invisible.sub("", unicodedata.normalize("NFKD", text)).lower()
+        text = unicodedata.normalize("NFC", text).translate(_to_latin)
     if "@" in text or "$" in text or "!" in text:
         text = _inner_sign.sub(lambda m: "".join(map(_SIGNS.__getitem__, m[0])), text)
-    return f" {' '.join(_letters(text.translate(_fold)))} "
+    return f" {' '.join(_letters(_with_digit.sub(_spelt, text)))} "
 
 
 def entries_of(folded: str) -> set[str]:
     """The entries of a folded text: `` word `` for whole words, `` stem`` for beginnings."""
     words = set(folded.split())
-    found = {f" {w} " for w in words if len(w) <= 30}
+    found = {f" {w} " for w in words}
     for n in STEMS:
-        found.update(" " + w[:n] for w in words if len(w) > n)
+        found.update(" " + w[:n] for w in words if len(w) >= n)
     return found
 
 
@@ -141,15 +159,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
     return w[:-1], float(w[-1])
 
 
+def _as_dict(counted: DataFrame) -> dict[str, int]:
+    table = counted.select("entry", "n").toArrow()
+    return dict(zip(table.column("entry").to_pylist(), table.column("n").to_pylist(), strict=True))
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAINING_DOCS
 ) -> Model:
     """A model of the documents that ``labels`` marks 0 or 1, about ``most`` labels at most, chosen by a hash of the id.
 
-    Entries are words and word beginnings that toxic documents have much
-    oftener.  Both passes count where the documents lie; the driver gets at most
-    CANDIDATES entries, EXCEPTIONS phrases and a row of features for each sampled
-    document.  Without documents of both labels the model scores 0.
+    Entries are all words and word beginnings that LEAST_DOCS toxic documents
+    have, much oftener than others.  Both passes count where the documents lie;
+    the driver gets the entries and phrases that stand in several documents of the
+    sample, and a row of features for each.  Without documents of both labels the
+    model scores 0.
     """
     marked = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
     chosen = materialize(sampled(marked, id_col, most, seed=3), "labels")
@@ -165,7 +189,7 @@ def fit(
     schema = "entry string, n long"
     counted = arrow_map(rows.where("label = 1").select("text"), toxic, schema, weight="text")
     counted = counted.groupBy("entry").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
-    candidates = {r.entry: r.n for r in counted.orderBy(F.desc("n"), "entry").limit(CANDIDATES).collect()}
+    candidates = _as_dict(counted)
     sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not candidates or 0 not in sizes or 1 not in sizes:
         return Model()
@@ -178,14 +202,13 @@ def fit(
         yield {"entry": list(found), "n": list(found.values())}
 
     counted = arrow_map(rows.where("label = 0").select("text"), clean, schema, weight="text")
-    benign = {r.entry: r.n for r in counted.groupBy("entry").agg(F.sum("n").alias("n")).collect()}
+    benign = _as_dict(counted.groupBy("entry").agg(F.sum("n").alias("n")))
     weights = {}
     for entry, n in candidates.items():
         weight = math.log((n + 0.5) / (sizes[1] + 1)) - math.log((benign.get(entry, 0) + 0.5) / (sizes[0] + 1))
         if weight >= LEAST_WEIGHT:
             weights[entry] = weight
-    strongest = sorted(weights, key=lambda e: (-weights[e] * math.sqrt(candidates[e]), e))[:ENTRIES]
-    model = Model({e: weights[e] for e in strongest})
+    model = Model(dict(sorted(weights.items())))
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def context(columns):
@@ -202,7 +225,7 @@ def fit(
     near = arrow_map(rows, context, "phrase string, clean long, toxic long", weight="text")
     near = near.groupBy("phrase").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     excused = near.where((F.col("clean") >= LEAST_DOCS) & (F.expr("toxic / (clean + toxic)") <= EXCUSED_SHARE))
-    model.exceptions = {r.phrase for r in excused.orderBy(F.desc("clean"), "phrase").limit(EXCEPTIONS).collect()}
+    model.exceptions = set(excused.select("phrase").toArrow().column("phrase").to_pylist())
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def features(columns):
@@ -220,11 +243,12 @@ def fit(
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, score`` (0 to 1) of every row's whole text; a null text is an empty one.
+    """``id_col, score`` (0 to 1) of every row's whole text, however long; a null text is an empty one.
 
-    Repeated rows come back as often as they came; a null id stays null.
+    Repeated rows come back as often as they came; a null id stays null; an empty
+    table gives an empty table; other columns, whatever their names, play no part.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ENTRIES entries and EXCEPTIONS phrases
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that it is fitted on
 
     def rows(columns):
         own = shared.value
