@@ -32,13 +32,13 @@ from .fmindex import FmIndex
 #: Words of a window, and of the groups whose least hash is a window's anchor.
 WINDOW, GROUP = 13, 5
 #: Words of a shard's stretches, about; an anchor whose stretches hold more is dealt out by windows.
-SHARD_WORDS = 500_000
+SHARD_WORDS = 400_000
 #: Windows of a stretch at most; a longer one is cut, into stretches that overlap by a window less one word.
 STRETCH = 64
 #: Parts of a shard, by document: each is indexed, and the parts after it are streamed through.
 PARTS = 2
 #: Bytes of compressed texts that are unpacked side by side.
-PACKED_BYTES = 1_000_000
+PACKED_BYTES = 300_000
 #: What stands for a null id: larger than all, so that it is no other document's smaller one.
 NO_ID = (1 << 63) - 1
 
