@@ -100,6 +100,39 @@ def arrow_map(
     return df.mapInArrow(over, schema)
 
 
+def arrow_beside(
+    df: DataFrame, column: str, rows: Callable[[list[bytes | None]], dict[str, list]], schema: str, slice_bytes: int = SLICE_BYTES
+) -> DataFrame:
+    """``df`` with the columns of ``schema`` behind its own, which are carried along as they are, under ``c0``, ``c1`` ...
+
+    ``rows`` takes a slice of ``column`` as UTF-8 (null: None) and returns the new
+    columns.  No name of a column of ``df`` can clash with one of ``schema``.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    at = df.columns.index(column)
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    added = StructType.fromDDL(schema)
+    whole = StructType([*numbered.schema.fields, *added.fields])
+    arrow = to_arrow_schema(added)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, f"c{at}", slice_bytes):
+                made = rows(part.column(at).cast(pa.binary()).to_pylist())
+                arrays = [*part.columns, *(pa.array(made[f.name], f.type) for f in arrow)]
+                yield pa.RecordBatch.from_arrays(arrays, names=whole.names)
+            pa.default_memory_pool().release_unused()
+
+    return numbered.mapInArrow(over, whole)
+
+
+def named(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns ``c0``, ``c1`` ... that :func:`arrow_beside` carried along, under their own names."""
+    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def slices(batch: pa.RecordBatch, weight: str | None, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of about ``most`` bytes of the column ``weight``; one row at least."""
     if weight is None or not batch.num_rows:

@@ -7,15 +7,13 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, holding, materialize, sampled
+from .common import arrow_beside, arrow_map, holding, materialize, named
 
-#: Documents that a model is fitted on, about, at most.
-TRAINING_DOCS = 10_000
-#: Words, and n-grams of each length, that a model keeps: the most frequent.
-ENTRIES = 30_000
+#: Documents of each language that a model is fitted on, about, at most; it keeps all their words and n-grams.
+TRAINING_DOCS = 2_000
 #: Lengths of the character n-grams that stand in for unseen words, longest first.
 ORDERS = (5, 4, 3, 2, 1)
 #: Words whose scores a worker keeps before it starts anew.
@@ -118,73 +116,74 @@ class Model:
         return self.languages[best], float(min(1.0, share[best]))
 
 
-def fit(
-    docs: DataFrame,
-    text_col: str = "text",
-    lang_col: str = "lang",
-    id_col: str = "doc_id",
-    most: int = TRAINING_DOCS,
-    entries: int = ENTRIES,
-) -> Model:
-    """A model of the rows of ``docs`` with text and language, on about ``most`` rows at most, chosen by a hash.
+def _each_sampled(rows: DataFrame, most: int) -> DataFrame:
+    """About ``most`` rows of each language at most, by a hash of the id: a rare language keeps all."""
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    span = 1 << 40
+    above = {lang: int(most / n * span) for lang, n in sizes.items() if n > most}
+    if not above:
+        return rows
+    place = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(span))
+    limits = F.create_map(*[F.lit(x) for pair in sorted(above.items()) for x in pair])
+    return rows.where(place < F.coalesce(limits[F.col("lang")], F.lit(span)))
 
-    Counts are made where the rows lie and summed by key; the driver gets the
-    most frequent ``entries`` of each order, whatever the input's size.
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most: int = TRAINING_DOCS) -> Model:
+    """A model of the rows of ``docs`` with text and language, on about ``most`` rows of each language at most, chosen by a hash.
+
+    Words are counted where the rows lie and summed; n-grams are taken of the
+    distinct words.  The model keeps every word and n-gram of the sample, which is
+    what bounds it.  Rows without text or language play no part; without any the
+    model knows no language.
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = sampled(rows, "id", most, seed=5).select("lang", F.col("text").cast("binary").alias("text"))
+    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    rows = _each_sampled(rows, most).select("lang", F.col("text").cast("binary").alias("text"))
 
     def count(columns):
-        found: Counter = Counter()
         by_lang: dict[str, Counter] = {}
         for lang, text in zip(columns["lang"], columns["text"], strict=True):
             by_lang.setdefault(lang, Counter()).update(words_of(text.decode("utf-8", "replace")))
-        for lang, words in by_lang.items():
-            for w, n in words.items():
-                found[lang, 0, w] += n
-                for order in ORDERS:
-                    for g in grams(w, order):
-                        found[lang, order, g] += n
-        keys = list(found)
         yield {
-            "lang": [k[0] for k in keys],
-            "kind": [k[1] for k in keys],
-            "gram": [k[2] for k in keys],
-            "n": list(found.values()),
+            "lang": [lang for lang, words in by_lang.items() for _ in words],
+            "word": [w for words in by_lang.values() for w in words],
+            "n": [n for words in by_lang.values() for n in words.values()],
         }
 
-    counted = arrow_map(rows, count, "lang string, kind int, gram string, n long", weight="text")
-    by_lang = materialize(counted.groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n")), "counts")
-    counted = by_lang.groupBy("kind", "gram").agg(
-        F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")
-    )
-    counted = materialize(counted, "grams")  # a row for each gram, with as many counts as there are languages
-    languages = sorted(r[0] for r in by_lang.select("lang").distinct().collect())
-    place = {lang: i for i, lang in enumerate(languages)}
+    counted = arrow_map(rows, count, "lang string, word string, n long", weight="text")
+    words = materialize(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "counts")
+    languages = sorted(r[0] for r in words.select("lang").distinct().collect())
     tables: dict[int, dict[str, int]] = {}
     logs: list[np.ndarray] = []
-    for kind in (0, *ORDERS):  # one order's entries at a time
-        kept = counted.where(F.col("kind") == kind).orderBy(F.desc("n"), "gram").limit(entries).collect()
-        n = np.zeros((len(kept), len(languages)))
-        for i, r in enumerate(kept):
-            for lang, k in r.by_lang.items():
-                n[i, place[lang]] = k
+    for order in (0, *ORDERS):  # one order's entries at a time; JVM-side, and the driver gets each entry's counts once
+        part = words.withColumn("gram", F.explode(_grams_of(F.col("word"), order))) if order else words.withColumnRenamed("word", "gram")
+        by_lang = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(languages)]
+        kept = part.groupBy("gram").agg(F.count("*").alias("all"), *by_lang).orderBy("gram").toArrow()
+        n = np.array([kept.column(f"n{i}").to_numpy() for i in range(len(languages))], float).reshape(len(languages), kept.num_rows).T
         start = sum(map(len, logs))
-        tables[kind] = {r.gram: start + i for i, r in enumerate(kept)}
+        tables[order] = {g: start + i for i, g in enumerate(kept.column("gram").to_pylist())}
         logs.append(np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * max(1, len(n)))).astype(np.float32))
     return Model(languages, tables, np.concatenate(logs))
 
 
+def _grams_of(word: Column, order: int) -> Column:
+    """:func:`grams` as an expression."""
+    text = word if order == 1 else F.concat(F.lit("^"), word, F.lit("$"))
+    many = F.length(text) - (order - 1)
+    each = F.transform(F.sequence(F.lit(1), F.greatest(many, F.lit(1))), lambda i: F.substring(text, i, order))
+    return F.when(many > 0, each)
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, lang_pred, score`` of every row's whole text.
 
     A text that is null or has no letter is ``und`` with score 0; so is every
     text if the model has seen no language.  Equal scores go to the language
     that comes first in the alphabet.  Repeated rows come back as often as they
-    came, and a null id stays null.
+    came, and a null id stays null; texts of any length are taken whole; an empty
+    table gives an empty table; other columns, whatever their names, play no part.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most six times ENTRIES entries
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that it is fitted on
 
     def rows(columns):
         own = shared.value
@@ -197,3 +196,18 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return out.withColumnRenamed("id", id_col)
 
 
+def sure(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is found with a score of ``least`` or more.
+
+    Texts that are null or have no letter go; repeated rows stay as often as they
+    came.  Columns go through the tasks beside their texts, so nothing is joined.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def rows(texts):
+        own = shared.value
+        holding("language", own.forget)
+        found = own.predict_all([(t or b"").decode("utf-8", "replace") for t in texts])
+        return {"sure": [lang != UNDETERMINED and score >= least for lang, score in found]}
+
+    return named(arrow_beside(docs, text_col, rows, "sure boolean").where("sure"), docs.columns)
