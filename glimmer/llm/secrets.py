@@ -176,9 +176,12 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
     ``found`` are the findings of the same table; rows meet by the content
     address, so that an id that stands twice is no matter.
     """
-    hits = found.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    hits = hits.dropDuplicates(["_blob"])
-    text = F.col(text_col)
+    # a table, so that the join's two sides are plain exchanges and a blob that many documents share can be split
+    spans = materialize(found.where(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"]), "masks")
+    hits = spans.select(F.struct("blob", "spans").alias("hit"))
+    # one column that holds all others: no name of theirs can clash
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), address(F.col(text_col)).alias("at"))
+    text = F.col("doc").getField(text_col)
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(state: Column, s: Column) -> Column:
@@ -187,6 +190,7 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
         out = F.when(s["start"] >= state["at"], apart).otherwise(state["out"])
         return F.struct(out.alias("out"), F.greatest(state["at"], s["stop"]).alias("at"))
 
-    whole = F.aggregate("_spans", start, step, lambda x: F.concat(x["out"], F.substring(text, x["at"] + 1, F.length(text))))
-    joined = docs.withColumn("_blob", address(text)).join(hits, "_blob", "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(whole)).select(docs.columns)
+    whole = F.aggregate("hit.spans", start, step, lambda x: F.concat(x["out"], F.substring(text, x["at"] + 1, F.length(text))))
+    joined = rows.join(hits, F.col("at") == F.col("hit.blob"), "left")
+    masked = F.when(F.col("hit").isNull(), text).otherwise(whole)
+    return joined.select(*[(masked if c == text_col else F.col("doc").getField(c)).alias(c) for c in docs.columns])
