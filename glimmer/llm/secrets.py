@@ -125,6 +125,20 @@ def update_ledger(
     return out
 
 
+def spans_by_blob(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``blob, spans`` of the blobs in which any rule found something: all spans by start, then in the rules' order."""
+    wanted = F.lit(False)
+    for r in rules:
+        wanted = wanted | ((F.col("kind") == r.kind) & (F.col("version") == r.version))
+    hits = ledger.where(wanted & (F.size("spans") > 0)).groupBy("blob")
+    hits = hits.agg(F.flatten(F.collect_list("spans")).alias("spans"))  # at most one row for each rule
+    ordered = F.array_sort(
+        F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["nth"].alias("nth"), s["stop"].alias("stop"), s["kind"].alias("kind")))
+    )
+    # a table, so that the join's two sides are plain exchanges and a blob that many documents share can be split
+    return materialize(hits.select("blob", ordered.alias("spans")), "hits")
+
+
 def findings(
     docs: DataFrame,
     ledger: DataFrame,
@@ -137,16 +151,7 @@ def findings(
     Only ledger rows that hold a span take part, so a text without findings
     costs its address and nothing more.
     """
-    wanted = F.lit(False)
-    for r in rules:
-        wanted = wanted | ((F.col("kind") == r.kind) & (F.col("version") == r.version))
-    hits = ledger.where(wanted & (F.size("spans") > 0)).groupBy("blob")
-    hits = hits.agg(F.flatten(F.collect_list("spans")).alias("spans"))  # at most one row for each rule
-    ordered = F.array_sort(
-        F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["nth"].alias("nth"), s["stop"].alias("stop"), s["kind"].alias("kind")))
-    )
-    # a table, so that the join's two sides are plain exchanges and a blob that many documents share can be split
-    hits = materialize(hits.select("blob", ordered.alias("spans")), "hits")
+    hits = spans_by_blob(ledger, rules)
     narrow = docs.select(F.col(id_col), address(F.col(text_col)).alias("blob"))
     none = F.lit([]).cast("array<struct<start:int,nth:int,stop:int,kind:string>>")
     return narrow.join(hits, "blob", "left").select(id_col, "blob", F.coalesce("spans", none).alias("spans"))
@@ -158,27 +163,50 @@ def scan(
     """Findings for every row of ``docs``, and the ledger that covers them.
 
     Null and empty texts have no spans; repeated rows come back as often as they
-    came; rows with a null id keep it; an empty table gives empty tables.
+    came; rows with a null id keep it; texts of any length are taken whole; other
+    columns, whatever their names, play no part; an empty table gives empty tables.
     """
     new = materialize(update_ledger(docs, ledger, rules, text_col), "ledger")
     whole = new if ledger is None else ledger.unionByName(new)
     return findings(docs, whole, rules, id_col, text_col), whole
 
 
+def scan_into(
+    docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Findings for every row of ``docs``, with a ledger that is kept at ``path`` from run to run.
+
+    Only blob and rule-version pairs that no earlier run has scanned are scanned;
+    they are appended to the ledger before findings are joined, so that a run that
+    is broken off is taken up where it was.
+    """
+    spark = docs.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    before = spark.read.schema(_LEDGER).parquet(path) if known else None
+    update_ledger(docs, before, rules, text_col).write.mode("append").parquet(path)
+    return findings(docs, spark.read.schema(_LEDGER).parquet(path), rules, id_col, text_col)
+
+
+_LEDGER = f"blob string, kind string, version int, spans array<{SPAN}>"
+
+
 def listed(spans: Column) -> Column:
     """``kind:start:end`` of all spans, comma-joined."""
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])))
 
 
-def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """``docs`` with each run of overlapping spans replaced by ``mark``; other texts stay as they are.
+def redact(
+    docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", mark: str = "[secret]"
+) -> DataFrame:
+    """``docs`` with each run of overlapping spans replaced by ``mark``; other texts, null ones too, stay as they are.
 
-    ``found`` are the findings of the same table; rows meet by the content
-    address, so that an id that stands twice is no matter.
+    ``ledger`` covers the same table; rows meet by the content address, so that
+    an id that stands twice is no matter.  All other columns stay, whatever their
+    names.
     """
-    # a table, so that the join's two sides are plain exchanges and a blob that many documents share can be split
-    spans = materialize(found.where(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"]), "masks")
-    hits = spans.select(F.struct("blob", "spans").alias("hit"))
+    # grows with the table: no broadcast at any size
+    hits = spans_by_blob(ledger, rules).select(F.struct("blob", "spans").alias("hit")).hint("merge")
     # one column that holds all others: no name of theirs can clash
     rows = docs.select(F.struct(*docs.columns).alias("doc"), address(F.col(text_col)).alias("at"))
     text = F.col("doc").getField(text_col)

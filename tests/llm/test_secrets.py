@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from glimmer.llm.secrets import RULES, Rule, listed, redact, scan
+from glimmer.llm.secrets import RULES, Rule, listed, redact, scan, scan_into
 
 TEXTS = [
     "password = 'abcdefghijkl' and token:abc", "token=password: longvalue12345", "token=secret=abcdefghijklmnop",
@@ -48,12 +48,23 @@ def test_ledger_scans_only_what_is_new(spark):
 
 def test_redact(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, source string")
-    found, _ = scan(df)
-    out = {r.doc_id: r.text for r in redact(df, found).collect()}
+    _, ledger = scan(df)
+    out = {r.doc_id: r.text for r in redact(df, ledger).collect()}
     assert out[0] == "[secret]' and token:abc" and out[7] is None and out[6] == "" and out[9] == "apikey abc"
     assert out[4] == "[secret] x deadbeef" and out[8] == "[secret]"
     assert out[5] == "ünïcödé 🎉 [secret], [secret]\nsecret:short"
-    assert redact(df, found).columns == df.columns
+    assert redact(df, ledger).columns == df.columns
+
+
+def test_a_kept_ledger_serves_later_runs(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    old = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS[:6])], "doc_id long, text string")
+    new = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    key = lambda df: sorted(df.select("doc_id", listed(F.col("spans"))).collect())
+    distinct = len({t or "" for t in TEXTS})
+    for docs, pairs in ((old, 18), (old, 18), (new, 3 * distinct), (new, 3 * distinct)):
+        assert key(scan_into(docs, path)) == key(scan(docs)[0])
+        assert spark.read.parquet(path).count() == pairs  # a second run scans nothing
 
 
 def test_no_python_on_the_main_path(spark):
