@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import arrow_beside, arrow_map, holding, materialize, named
 
 #: Documents of each language that a model is fitted on, about, at most; it keeps all their words and n-grams.
-TRAINING_DOCS = 2_000
+TRAINING_DOCS = 1_000
 #: Lengths of the character n-grams that stand in for unseen words, longest first.
 ORDERS = (5, 4, 3, 2, 1)
 #: Words whose scores a worker keeps before it starts anew.
