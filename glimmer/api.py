@@ -86,26 +86,33 @@ def segment(signal: DataFrame, height: int, width: int, params: Params = Params(
     return tiles.merge_weighted(scored, shape, rois.pixel_grid(signal.sparkSession, height, width)).withColumnRenamed("v", "p")
 
 
-def compute_masks(prob: DataFrame, signal: DataFrame, height: int, width: int, params: Params = Params()) -> DataFrame:
-    """``roi, y, x`` of the neurons in a probability map."""
+def compute_masks(
+    prob: DataFrame, signal: DataFrame, height: int, width: int, params: Params = Params(), out_shape: tuple[int, int] | None = None
+) -> DataFrame:
+    """``roi, y, x`` of the neurons in a probability map, at ``out_shape`` (the map's own, if none is given)."""
     image = signal.groupBy("y", "x").agg(F.avg("spatial").alias("v"))
-    return _masks(prob, image, height, width, params.probability_threshold, params.area_threshold_min, params.area_threshold_max, params.eccentricity_max, None, params.mask_dilation)
+    p = params
+    return _masks(
+        prob, image, height, width, p.probability_threshold, p.area_threshold_min, p.area_threshold_max, p.concavity_threshold,
+        p.intensity_threshold, p.activity_threshold, p.background_sigma, p.background_edge, p.background_threshold, p.mask_dilation,
+        out_shape, p.eccentricity_max,
+    )
 
 
 def detect_spikes(video: DataFrame, masks: DataFrame, params: Params = Params(), sigma: float = 100.0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(voltage, spikes, masks)``: traces of pixels that one neuron has alone, baseline off and scaled, and their peaks.
+    """``(potential, spikes, masks)``: traces of pixels that one neuron has alone, baseline off and scaled, and their peaks.
 
     With ``remove_inactive`` neurons without a spike go and the others are numbered
     anew.
     """
     raw = rois.extract_traces(video, rois.without_overlap(masks), "v").select("roi", F.col("frame").alias("t"), "v")
     flipped = raw.withColumn("v", F.col("v") * (1.0 if params.polarity >= 0 else -1.0))
-    voltage = _kept(spikes.center_and_scale(spikes.remove_baseline(flipped, sigma)), "voltage")
-    peaks = spikes.find_peaks(voltage, params.spike_threshold)
+    potential = _kept(spikes.center_and_scale(spikes.remove_baseline(flipped, sigma)), "potential")
+    peaks = spikes.find_peaks(potential, params.spike_threshold)
     if params.remove_inactive:
         idle = masks.select("roi").distinct().join(peaks, "roi", "left_anti")
-        return spikes.remove_inactive(voltage, peaks), spikes.remove_inactive(peaks, peaks), rois.drop_and_renumber(masks, idle)
-    return voltage, peaks, masks
+        return spikes.remove_inactive(potential, peaks), spikes.remove_inactive(peaks, peaks), rois.drop_and_renumber(masks, idle)
+    return potential, peaks, masks
 
 
 def evaluate_each(masks: DataFrame, reference: DataFrame, one_to_one: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -158,7 +165,7 @@ class Timer:
 
 def run(video: DataFrame, height: int, width: int, params: Params = Params(), scorer: tiles.Scorer = tiles.contrast_scorer, reference: DataFrame | None = None,
         on_stage: Callable[[str, DataFrame], None] | None = None, sigma: float = 100.0) -> dict[str, DataFrame]:
-    """All steps over one recording: the tables ``corrected, motion, signal, prob, masks, voltage, spikes``, and ``scores``
+    """All steps over one recording: the tables ``corrected, motion, signal, prob, masks, potential, spikes``, and ``scores``
     with a reference.  Each is written once before the next step reads it."""
     out: dict[str, DataFrame] = {}
 
@@ -173,8 +180,8 @@ def run(video: DataFrame, height: int, width: int, params: Params = Params(), sc
     signal = keep("signal", preprocess_video(corrected, height, width, params))
     prob = keep("prob", segment(signal, height, width, params, scorer))
     found = keep("masks", compute_masks(prob, signal, height, width, params))
-    voltage, peaks, left = detect_spikes(corrected, found, params, sigma)
-    keep("voltage", voltage)
+    potential, peaks, left = detect_spikes(corrected, found, params, sigma)
+    keep("potential", potential)
     keep("spikes", peaks)
     out["masks"] = left
     if reference is not None:

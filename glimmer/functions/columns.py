@@ -26,30 +26,19 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / F.when(b > 0, b)).otherwise(F.lit(0.0))
 
 
-# The recursive Gaussian filter of Young and van Vliet (1995).
-_Q_TURN, _Q_NEAR, _Q_FAR = 2.5, (3.97156, 4.14554, 0.26891), (0.98711, 0.9633)
-_FEEDBACK = (
-    (1.57825, 2.44413, 1.4281, 0.422205),
-    (0.0, 2.44413, 2.85619, 1.26661),
-    (0.0, 0.0, -1.4281, -1.26661),
-    (0.0, 0.0, 0.0, 0.422205),
-)
-
-
 def iir_coefficients(sigma: float) -> tuple[float, float, float, float]:
-    """Coefficients of the recursive Gaussian of Young and van Vliet: gain, and three feedback terms.
+    """Coefficients of the recursive Gaussian of Young and van Vliet (1995): gain, and three feedback terms.
 
     ``sigma`` must be 0.5 or more.
     """
     if sigma < 0.5:
         raise ValueError("the recursive Gaussian needs a sigma of 0.5 or more")
-    if sigma < _Q_TURN:
-        q = _Q_NEAR[0] - _Q_NEAR[1] * math.sqrt(1 - _Q_NEAR[2] * sigma)
-    else:
-        q = _Q_FAR[0] * sigma - _Q_FAR[1]
-    powers = [1.0, q, q * q, q * q * q]
-    b0, b1, b2, b3 = (sum(c * p for c, p in zip(row, powers, strict=True)) for row in _FEEDBACK)
-    b1, b2, b3 = b1 / b0, b2 / b0, b3 / b0
+    # The published polynomials.
+    q = 3.97156 - 4.14554 * math.sqrt(1 - 0.26891 * sigma) if sigma < 2.5 else 0.98711 * sigma - 0.9633
+    b0 = 1.57825 + 2.44413 * q + 1.4281 * q**2 + 0.422205 * q**3
+    b1 = (2.44413 * q + 2.85619 * q**2 + 1.26661 * q**3) / b0
+    b2 = -(1.4281 * q**2 + 1.26661 * q**3) / b0
+    b3 = 0.422205 * q**3 / b0
     return 1 - b1 - b2 - b3, b1, b2, b3
 
 

@@ -1,14 +1,17 @@
 """Frame-wise operators: projections, rescaling, downsampling, shifting.
 
 A video is a table ``frame, y, x`` and a value column.  Every operator is a
-combinable aggregate or an equi-join on those keys.
+combinable aggregate or an equi-join on those keys, or an array kernel on one frame at
+a time.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -72,25 +75,26 @@ def shift_bilinear(
     """``out(y, x) = in(y + my, x + mx)`` by bilinear sampling, clamped to the edges.
 
     ``motion`` is ``frame, mx, my``.  Positions are truncated towards zero, so a
-    position before the first pixel is extrapolated.  Each pixel asks for its four
-    corners, which are fetched by one equi-join.
+    position before the first pixel is extrapolated.  A frame is one group, bound
+    by its size; pixels that it hasn't count as 0 where others are sampled.
     """
-    at_x, at_y = F.col("x") + F.col("mx"), F.col("y") + F.col("my")
-    base_x, base_y = at_x.cast("long"), at_y.cast("long")
-    asked = video.select("frame", "y", "x").join(motion, "frame")
-    asked = asked.withColumns({"bx": base_x, "by": base_y, "fx": at_x - base_x, "fy": at_y - base_y})
-
-    def corner(dy: int, dx: int) -> Column:
-        weight = (F.col("fx") if dx else 1 - F.col("fx")) * (F.col("fy") if dy else 1 - F.col("fy"))
-        cx = F.greatest(F.lit(0), F.least(F.lit(width - 1), F.col("bx") + dx)).cast("long")
-        cy = F.greatest(F.lit(0), F.least(F.lit(height - 1), F.col("by") + dy)).cast("long")
-        return F.struct(cy.alias("cy"), cx.alias("cx"), weight.alias("weight"))
-
-    corners = F.explode(F.array(*[corner(dy, dx) for dy in (0, 1) for dx in (0, 1)])).alias("c")
-    asked = asked.select("frame", "y", "x", corners).select("frame", "y", "x", "c.cy", "c.cx", "c.weight")
-    source = video.select("frame", F.col("y").alias("cy"), F.col("x").alias("cx"), F.col(value).alias("_v"))
-    joined = asked.join(source, ["frame", "cy", "cx"])
-    return joined.groupBy("frame", "y", "x").agg(F.sum(F.col("weight") * F.col("_v")).alias(out))
+    rows = video.select("frame", "y", "x", F.col(value).cast("double").alias("v"))
+    rows = rows.join(motion.select("frame", F.col("mx").cast("double").alias("mx"), F.col("my").cast("double").alias("my")), "frame")
+
+    def over(pixels: pa.Table) -> pa.Table:
+        y, x, v = (pixels.column(c).to_numpy() for c in ("y", "x", "v"))
+        image = np.zeros((height, width))
+        image[y, x] = v
+        at_y, at_x = y + pixels.column("my")[0].as_py(), x + pixels.column("mx")[0].as_py()
+        base_y, base_x = np.trunc(at_y).astype(np.int64), np.trunc(at_x).astype(np.int64)
+        fy, fx = at_y - base_y, at_x - base_x
+        made = np.zeros(len(v))
+        for dy, wy in ((0, 1 - fy), (1, fy)):
+            for dx, wx in ((0, 1 - fx), (1, fx)):
+                made += wy * wx * image[np.clip(base_y + dy, 0, height - 1), np.clip(base_x + dx, 0, width - 1)]
+        return pa.Table.from_arrays([*(pixels.column(c) for c in ("frame", "y", "x")), pa.array(made)], names=["frame", "y", "x", out])
+
+    return rows.groupBy("frame").applyInArrow(over, f"frame long, y long, x long, {out} double")
 
 
 def crop_integer(video: DataFrame, motion: DataFrame, top: int, left: int, height: int, width: int) -> DataFrame:

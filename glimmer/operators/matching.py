@@ -150,7 +150,8 @@ def majority_sets(sets: DataFrame) -> DataFrame:
     member = F.struct(F.col("tgt").alias("annotator"), F.col("tgt_roi").alias("roi"))
     partners = mutual.groupBy(F.col("ref").alias("annotator"), F.col("ref_roi").alias("roi")).agg(F.collect_set(member).alias("p"))
     itself = F.array(F.struct("annotator", "roi"))
-    with_own = own.join(partners, ["annotator", "roi"]).select(F.array_sort(F.concat(itself, "p")).alias("members"))
+    alone = F.coalesce("p", F.filter(itself, lambda m: F.lit(False)))  # a region that nobody else has
+    with_own = own.join(partners, ["annotator", "roi"], "left").select(F.array_sort(F.concat(itself, alone)).alias("members"))
     with_n = with_own.crossJoin(F.broadcast(n)).where(F.size("members") * 2 > F.col("_n"))
     return with_n.select("members").distinct()
 

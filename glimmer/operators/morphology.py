@@ -159,75 +159,155 @@ def gaussian_blur(image: DataFrame, keys: list[str], sigma: float, height: int,
     return axis(axis(start, "x", width), "y", height)
 
 
-def convex_area(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, area, convex_area``: pixels of each region, and pixel centers in its convex hull (monotone chain)."""
+def _hull_area(points: list[tuple[int, int]]) -> int:
+    """Pixel centers in the convex hull of pixels (monotone chain)."""
+    points = sorted(set(points))
 
-    def half(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    def half(side: list[tuple[int, int]]) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
-        for p in points:
+        for p in side:
             while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
                 out.pop()
             out.append(p)
         return out[:-1]
 
+    hull = half(points) + half(points[::-1]) if len(points) > 1 else points
+    ys, xs = np.mgrid[points[0][0] : points[-1][0] + 1, min(p[1] for p in points) : max(p[1] for p in points) + 1]
+    inside = np.ones(ys.shape, bool)
+    for (ay, ax), (by, bx) in zip(hull, hull[1:] + hull[:1], strict=True):
+        inside &= (by - ay) * (xs - ax) - (bx - ax) * (ys - ay) >= 0
+    return int(inside.sum())
+
+
+def convex_area(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, area, convex_area``: pixels of each region, and pixel centers in its convex hull."""
+
     def over(frame: pd.DataFrame) -> pd.DataFrame:
-        points = sorted(set(zip(frame["y"].tolist(), frame["x"].tolist(), strict=True)))
-        hull = half(points) + half(points[::-1]) if len(points) > 1 else points
-        ys, xs = np.mgrid[points[0][0] : points[-1][0] + 1, min(p[1] for p in points) : max(p[1] for p in points) + 1]
-        inside = np.ones(ys.shape, bool)
-        for (ay, ax), (by, bx) in zip(hull, hull[1:] + hull[:1], strict=True):
-            inside &= (by - ay) * (xs - ax) - (bx - ax) * (ys - ay) >= 0
+        points = list(zip(frame["y"].tolist(), frame["x"].tolist(), strict=True))
         row = {k: [frame[k].iloc[0]] for k in keys}
-        return pd.DataFrame(row | {"area": [len(points)], "convex_area": [int(inside.sum())]})
+        return pd.DataFrame(row | {"area": [len(set(points))], "convex_area": [_hull_area(points)]})
 
     schema = ", ".join(f"{k} {dict(pixels.dtypes)[k]}" for k in keys) + ", area long, convex_area long"
     return pixels.groupBy(*keys).applyInPandas(over, schema)
 
 
-def demix(masks: DataFrame, height: int, width: int, area_min: int, binarize: float = 0.95, least: float = 0.8) -> DataFrame:
-    """``component, y, x`` of overlapping time-varying masks ``grp, seg, y, x`` by repeated rank-one factorization.
+def _eccentricity(y: np.ndarray, x: np.ndarray) -> float:
+    """Of the ellipse with a region's second moments; a pixel's own extent adds 1/12 to each variance."""
+    a, b, c = y.var() + 1 / 12, x.var() + 1 / 12, ((y - y.mean()) * (x - x.mean())).mean()
+    mid, span = (a + b) / 2, np.hypot((a - b) / 2, c)
+    return float(np.sqrt(max(0.0, 1 - (mid - span) / (mid + span))))
+
+
+def _otsu(image: np.ndarray, bins: int = 256) -> float:
+    """From where on an image's values are the upper class: the upper end of the last bin of the lower one.
 
-    Each round takes the leading non-negative pair of the mask matrix, accepts the
-    connected parts of its thresholded footprint, subtracts what they explain and
-    binarizes the rest, until nothing is accepted, too little is explained or the
-    rest stays the same (it only ever shrinks).  A group is one cluster of touching
-    masks.
+    (Its center would take values of that bin for the upper class.)
     """
+    counts, edges = np.histogram(image, bins)
+    centers = (edges[:-1] + edges[1:]) / 2
+    below, sums = np.cumsum(counts), np.cumsum(counts * centers)
+    above = below[-1] - below
+    split = (below > 0) & (above > 0)
+    gap = sums[split] / below[split] - (sums[-1] - sums[split]) / above[split]
+    return float(edges[1:][split][np.argmax(below[split] * above[split] * gap * gap)])
+
+
+def demix(
+    masks: DataFrame, area_min: int, concavity: float = 10.0, eccentricity: float = 0.98, intensity: float = 0.0, activity: float = 0.0,
+    binarize: float = 0.95, least: float = 0.8, reach: int = 3, keys: tuple[str, ...] = ("grp",),
+) -> DataFrame:
+    """``keys, component, y, x`` of overlapping time-varying masks ``keys, seg, y, x`` by repeated rank-one factorization.
+
+    Each round takes the leading non-negative pair of the mask matrix and cuts its
+    footprint at Otsu's threshold.  Connected parts are accepted by area,
+    concavity (convex over own area), eccentricity, mean image intensity and
+    activity (intensity times mean probability); columns ``img`` and ``prb`` of
+    ``masks`` hold a pixel's image value and mean probability, 0 if there are none.
+    What the accepted parts and their surroundings of ``reach`` pixels explain is
+    taken off and the rest is binarized, until nothing is accepted, too little is
+    explained or the rest stays the same (it only ever shrinks).  A group is one
+    cluster of touching masks, bound by its box, to which one pixel of background
+    belongs on each side.
+    """
+    with_values = {"img", "prb"} <= set(masks.columns)
+    disk = _disk(reach)
 
     def over(frame: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = int(frame["y"].min()) - 1, int(frame["x"].min()) - 1
+        height, width = int(frame["y"].max()) - y0 + 2, int(frame["x"].max()) - x0 + 2
         segs = {s: i for i, s in enumerate(sorted(set(frame["seg"])))}
+        place = ((frame["y"] - y0) * width + frame["x"] - x0).to_numpy()
         x = np.zeros((len(segs), height * width))
-        x[[segs[s] for s in frame["seg"]], frame["y"] * width + frame["x"]] = 1.0
+        x[[segs[s] for s in frame["seg"]], place] = 1.0
+        img, prb = np.zeros(height * width), np.zeros(height * width)
+        if with_values:
+            img[place], prb[place] = frame["img"], frame["prb"]
+
+        def accepted(ys: np.ndarray, xs: np.ndarray) -> bool:
+            if len(ys) < area_min or _eccentricity(ys, xs) > eccentricity:
+                return False
+            if _hull_area(list(zip(ys.tolist(), xs.tolist(), strict=True))) > concavity * len(ys):
+                return False
+            own = ys * width + xs
+            mean = img[own].mean()
+            return mean >= intensity and mean * prb[own].mean() >= activity
+
         found: list[tuple[int, int, int]] = []
         n = 0
         while x.any():
             u, s, vt = np.linalg.svd(x, full_matrices=False)
             weight, image = np.abs(u[:, 0]) * s[0], np.abs(vt[0])
-            unit = image.max()
-            weight, image = weight * unit, image / unit
-            on = image > 0.5
-            ys, xs = np.divmod(np.flatnonzero(on), width)
+            ys, xs = np.divmod(np.flatnonzero(image >= _otsu(image)), width)
             labels = _labelled([], 8)(pd.DataFrame({"y": ys, "x": xs})) if len(ys) else pd.DataFrame({"label": []})
-            accepted = np.zeros(height * width, bool)
+            near = np.zeros((height, width), bool)
             for _, part in labels.groupby("label"):
-                if len(part) >= area_min:
-                    found += [(n, int(y), int(c)) for y, c in zip(part["y"], part["x"], strict=True)]
-                    accepted[part["y"] * width + part["x"]] = True
+                py, px = part["y"].to_numpy(), part["x"].to_numpy()
+                if accepted(py, px):
+                    found += [(n, y0 + int(a), x0 + int(b)) for a, b in zip(py, px, strict=True)]
+                    for dy, dx in disk:
+                        near[np.clip(py + dy, 0, height - 1), np.clip(px + dx, 0, width - 1)] = True
                     n += 1
-            explained = np.outer(weight, np.where(accepted, image, 0))
-            if not accepted.any() or explained.max() < least:
+            explained = np.outer(weight, np.where(near.ravel(), image, 0))
+            if not near.any() or explained.max() < least:
                 break
             rest = (x - explained > binarize).astype(float)
             if np.array_equal(rest, x):
                 break
             x = rest
-        out = pd.DataFrame(found, columns=["component", "y", "x"])
-        out.insert(0, "grp", frame["grp"].iloc[0])
+        out = pd.DataFrame(found, columns=["component", "y", "x"], dtype=np.int64)
+        for k in keys:
+            out[k] = frame[k].iloc[0]
         return out
 
-    return masks.groupBy("grp").applyInPandas(over, "grp long, component long, y long, x long")
+    schema = ", ".join(f"{k} {dict(masks.dtypes)[k]}" for k in keys) + ", component long, y long, x long"
+    return masks.groupBy(*keys).applyInPandas(over, schema)
 
 
+def foreground(
+    image: DataFrame, keys: list[str], height: int, width: int, sigma: float = 10.0, edge: float = 1.0, threshold: float = 0.003, reach: int = 3
+) -> tuple[DataFrame, DataFrame]:
+    """``(pixels, image)``: where images ``keys, y, x, v`` stand out from their smoothed background, and the images less it.
+
+    Near the border, where smoothing darkens, pixels are weighted down by a
+    vignette of width ``edge`` (none for 0) before they are held against the
+    background; what is left is dilated by a disk of ``reach`` and its holes are
+    filled.
+    """
+    smooth = gaussian_blur(image, keys, sigma, height, width).withColumnRenamed("v", "_ground")
+    both = image.select(*keys, *_PIXEL, F.col("v").cast("double").alias("v")).join(smooth, [*keys, *_PIXEL])
+    fall = F.get(F.lit(_vignette(height, edge)), F.col("y").cast("int")) * F.get(F.lit(_vignette(width, edge)), F.col("x").cast("int"))
+    high = both.where(F.col("v") * fall - F.col("_ground") > threshold).select(*keys, *_PIXEL)
+    return fill_holes(dilate(high, reach, height, width), keys, height, width), both.withColumn("v", F.col("v") - F.col("_ground")).drop("_ground")
+
+
+def _vignette(n: int, edge: float) -> list[float]:
+    """A row of ones, smoothed by a Gaussian with nothing beyond its ends."""
+    if edge <= 0:
+        return [1.0] * n
+    radius = int(4 * edge + 0.5)
+    kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / edge) ** 2)
+    return np.convolve(np.ones(n + 2 * radius) * np.pad(np.ones(n), radius), kernel / kernel.sum(), "valid").tolist()
+
 
 def contour_edges(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, y0, x0, y1, x1``: the pixel sides between a region and its outside, each with the region on its left.

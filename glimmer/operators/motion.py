@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,43 +34,74 @@ class Search:
         return [n // 2 + i * self.spacing for i in range(-before, after + 1)]
 
 
+#: Pixels of the reference frame that are sent to every executor, at most.
+REFERENCE_PIXELS = 1 << 24
+
+
+def _image(frame: DataFrame, height: int, width: int, value: str) -> np.ndarray:
+    """One frame as an array on the driver; its size is checked."""
+    if height * width > REFERENCE_PIXELS:
+        raise ValueError(f"a reference frame of {height} x {width} pixels is too large to send to all executors")
+    return _filled(frame.select("y", "x", F.col(value).cast("double").alias("v")).limit(height * width + 1).toArrow(), height, width)
+
+
+def _filled(pixels: pa.Table, height: int, width: int) -> np.ndarray:
+    out = np.zeros((height, width))
+    out[pixels.column("y").to_numpy(), pixels.column("x").to_numpy()] = pixels.column("v").to_numpy()
+    return out
+
+
+def _members(search: Search, n: int, share: float, base: int) -> np.ndarray:
+    """Which of an axis's pixels each patch has: a row of zeros and ones for each patch."""
+    out = []
+    for c in search.centers(n, share, base):
+        at = np.arange(n)
+        out.append((at >= max(0, c - search.patch)) & (at <= min(n - 1, c + search.patch)))
+    return np.array(out, float)
+
+
 def correlations(video: DataFrame, reference: DataFrame, search: Search, height: int, width: int, base: DataFrame | None = None, value: str = "v") -> DataFrame:
-    """``frame, dx, dy, corr`` for all offsets around each frame's base (0, 0 or ``frame, bx, by``).
+    """``frame, bx, by, dx, dy, corr`` for all offsets around each frame's base (0, 0 or ``frame, bx, by``).
 
     For each patch, normalized correlation times the mean square of the reference
-    patch; added up over patches.  Patches and offsets are unrolled from small
-    arrays; reference pixels come from a broadcast of one frame, target pixels by
-    an equi-join, and six sums make a patch's correlation.
+    patch; added up over patches.  A frame is one group, bound by its size; the
+    reference frame is broadcast, its size checked.  The sums over all patches at
+    an offset are two matrix products.
     """
-    span = F.sequence(F.lit(-search.radius).cast("long"), F.lit(search.radius).cast("long"))
-    frames = video.select("frame").distinct()
-    frames = frames.withColumns({"bx": F.lit(0).cast("long"), "by": F.lit(0).cast("long")}) if base is None else frames.join(base, "frame")
-    offsets = frames.withColumn("dx", F.explode(span)).withColumn("dy", F.explode(span))
-    offsets = offsets.withColumns({"dx": F.col("dx") + F.col("bx"), "dy": F.col("dy") + F.col("by")})
     spark = video.sparkSession
-    reach = max(height, width)
-
-    def patches(n: int, share: float, at: str, pixel: str) -> DataFrame:
-        rows = [(b, c, p) for b in range(-reach, reach + 1) for c in search.centers(n, share, b)
-                for p in range(max(0, c - search.patch), min(n - 1, c + search.patch) + 1)]
-        return spark.createDataFrame(rows, f"{at} long, c{pixel} long, {pixel} long")
-
-    ref = reference.select("y", "x", F.col(value).cast("double").alias("r"))
-    cells = frames.select("bx", "by").distinct()
-    cells = cells.join(F.broadcast(patches(width, search.x_range, "bx", "x")), "bx")  # as long as the frame's side
-    cells = cells.join(F.broadcast(patches(height, search.y_range, "by", "y")), "by")
-    cells = cells.join(F.broadcast(ref), ["y", "x"])  # one frame
-    asked = offsets.join(cells, ["bx", "by"])
-    clamp = lambda c, d, n: F.greatest(F.lit(0).cast("long"), F.least(F.lit(n - 1).cast("long"), F.col(c) + F.col(d)))
-    asked = asked.withColumns({"ty": clamp("y", "dy", height), "tx": clamp("x", "dx", width)})
-    target = video.select("frame", F.col("y").alias("ty"), F.col("x").alias("tx"), F.col(value).cast("double").alias("t"))
-    sums = asked.join(target, ["frame", "ty", "tx"]).groupBy("frame", "bx", "by", "dx", "dy", "cx", "cy").agg(
-        F.avg("r").alias("r"), F.avg(F.col("r") * F.col("r")).alias("rr"), F.avg("t").alias("t"),
-        F.avg(F.col("t") * F.col("t")).alias("tt"), F.avg(F.col("r") * F.col("t")).alias("rt"),
-    )
-    rv, tv = F.greatest(F.lit(0.0), F.expr("rr - r * r")), F.greatest(F.lit(0.0), F.expr("tt - t * t"))
-    ncc = F.col("rr") * F.expr("rt - r * t") / F.sqrt(rv * tv + 1e-6)
-    return sums.withColumn("ncc", ncc).groupBy("frame", "bx", "by", "dx", "dy").agg(F.sum("ncc").alias("corr"))
+    shared = spark.sparkContext.broadcast(_image(reference, height, width, value))
+    rows = video.select("frame", "y", "x", F.col(value).cast("double").alias("v"))
+    zero = F.lit(0).cast("long")
+    rows = rows.withColumns({"bx": zero, "by": zero}) if base is None else rows.join(base.select("frame", "bx", "by"), "frame")
+
+    def over(pixels: pa.Table) -> pa.Table:
+        target, r = _filled(pixels, height, width), shared.value
+        bx, by = pixels.column("bx")[0].as_py(), pixels.column("by")[0].as_py()
+        rows, columns = _members(search, height, search.y_range, by), _members(search, width, search.x_range, bx).T
+        size = np.outer(rows.sum(axis=1), columns.sum(axis=0))
+
+        def mean(image: np.ndarray) -> np.ndarray:
+            return rows @ image @ columns / size
+
+        mr, mrr = mean(r), mean(r * r)
+        spread = np.maximum(0, mrr - mr * mr)
+        out: tuple[list[int], list[int], list[float]] = ([], [], [])
+        for dx in range(bx - search.radius, bx + search.radius + 1):
+            at_x = np.clip(np.arange(width) + dx, 0, width - 1)
+            for dy in range(by - search.radius, by + search.radius + 1):
+                t = target[np.clip(np.arange(height) + dy, 0, height - 1)][:, at_x]
+                mt = mean(t)
+                own = np.maximum(0, mean(t * t) - mt * mt)
+                ncc = mrr * (mean(r * t) - mr * mt) / np.sqrt(spread * own + 1e-6)
+                for column, v in zip(out, (dx, dy, float(ncc.sum())), strict=True):
+                    column.append(v)
+        n = len(out[0])
+        same = [pa.array([pixels.column(c)[0].as_py()] * n, pa.int64()) for c in ("frame", "bx", "by")]
+        return pa.Table.from_arrays(
+            [*same, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2])], names=["frame", "bx", "by", "dx", "dy", "corr"]
+        )
+
+    return rows.groupBy("frame").applyInArrow(over, "frame long, bx long, by long, dx long, dy long, corr double")
 
 
 def best_offset(corr: DataFrame, radius: int) -> DataFrame:
@@ -90,26 +122,20 @@ def subpixel(corr: DataFrame, radius: int) -> DataFrame:
     best = best_offset(corr, radius)
     c = corr.withColumns({"ci": F.col("dx") - F.col("bx") + radius, "cj": F.col("dy") - F.col("by") + radius})
     near = best.join(c.select("frame", "ci", "cj", F.col("corr").alias("v")), "frame")
-    edge = 2 * radius
-    names = {}
-    for a, di in (("m", -1), ("c", 0), ("p", 1)):
-        for b, dj in (("m", -1), ("c", 0), ("p", 1)):
-            at_i = F.greatest(F.lit(0), F.least(F.lit(edge), F.col("i") + di))
-            at_j = F.greatest(F.lit(0), F.least(F.lit(edge), F.col("j") + dj))
-            names[f"{a}{b}"] = F.max(F.when((F.col("ci") == at_i) & (F.col("cj") == at_j), F.col("v")))
-    nine = near.groupBy("frame", "bx", "by", "i", "j", "corr").agg(*[f.alias(n) for n, f in names.items()])
-    fit = nine.withColumns({
-        "a": F.expr("(mm + pm + mc + pc + mp + pp - 2 * (cm + cc + cp)) / 6"),
-        "b": F.expr("(mm - pm - mp + pp) / 4"),
-        "c": F.expr("(mm + cm + pm + mp + cp + pp - 2 * (mc + cc + pc)) / 6"),
-        "d": F.expr("(pm + pc + pp - mm - mc - mp) / 6"),
-        "e": F.expr("(mp + cp + pp - mm - cm - pm) / 6"),
-        "f": F.expr("(5 * cc + 2 * (cm + mc + pc + cp) - mm - pm - mp - pp) / 9"),
+    at = [F.greatest(F.lit(0), F.least(F.lit(2 * radius), F.col(own) + step)) for own, step in (("i", F.col("di")), ("j", F.col("dj")))]
+    spread = near.withColumn("step", F.explode(F.array(*[F.struct(F.lit(y).alias("dj"), F.lit(x).alias("di"), F.lit(n).alias("nth")) for n, (x, y) in enumerate(_GRID)])))
+    spread = spread.select("*", "step.*").where((F.col("ci") == at[0]) & (F.col("cj") == at[1]))
+    weight = [F.get(F.lit(row), F.col("nth")) * F.col("v") for row in _surface().tolist()]
+    fit = spread.groupBy("frame", "bx", "by", "i", "j", "corr").agg(*[F.sum(w).alias(f"s{k}") for k, w in enumerate(weight)])
+    # where the gradient of s0 + s1 x + s2 y + s3 x^2 + s4 xy + s5 y^2 is zero, by Cramer's rule on its Hessian
+    hessian = F.expr("2 * s3 * 2 * s5 - s4 * s4")
+    fit = fit.withColumns({
+        "px": F.try_divide(F.expr("s4 * s2 - 2 * s5 * s1"), hessian),
+        "py": F.try_divide(F.expr("s4 * s1 - 2 * s3 * s2"), hessian),
     })
-    det = F.expr("4 * a * c - b * b")
-    fit = fit.withColumns({"px": F.try_divide(F.expr("b * e - 2 * c * d"), det), "py": F.try_divide(F.expr("b * d - 2 * a * e"), det)})
     good = F.coalesce((F.abs("px") < 1) & (F.abs("py") < 1), F.lit(False))
-    top = F.expr("a * px * px + b * px * py + c * py * py + d * px + e * py + f")
+    # at that point the surface is its constant term and half of the gradient's rise
+    top = F.expr("s0 + (s1 * px + s2 * py) / 2")
     return fit.select(
         "frame",
         (F.col("bx") + F.col("i") - radius + F.when(good, F.col("px")).otherwise(0.0)).alias("mx"),
@@ -118,6 +144,16 @@ def subpixel(corr: DataFrame, radius: int) -> DataFrame:
     )
 
 
+#: The steps to an offset's neighbours and itself.
+_GRID = [(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1)]
+
+
+def _surface() -> np.ndarray:
+    """What turns nine correlations into the least-squares quadratic's terms 1, x, y, x^2, xy, y^2."""
+    x, y = np.array(_GRID, float).T
+    return np.linalg.pinv(np.stack([x**0, x, y, x * x, x * y, y * y], axis=1))
+
+
 def estimate_motion(video: DataFrame, height: int, width: int, search: Search, levels: int = 2, value: str = "v") -> DataFrame:
     """``frame, mx, my, corr`` against frame 0: coarse to fine over a pyramid of ``levels`` halvings.
 

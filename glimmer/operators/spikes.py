@@ -100,12 +100,12 @@ def remove_inactive(trace: DataFrame, peaks: DataFrame) -> DataFrame:
 
 
 def nested_spikes(trace: DataFrame, peaks: DataFrame) -> DataFrame:
-    """``neuron, voltage, spikes``: a row for each trace, values and peak times in order."""
-    voltage = F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda s: s["v"])
-    rows = trace.groupBy("roi").agg(voltage.alias("voltage"))
+    """``neuron, potential, spikes``: a row for each trace, values and peak times in order."""
+    potential = F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda s: s["v"])
+    rows = trace.groupBy("roi").agg(potential.alias("potential"))
     times = peaks.groupBy("roi").agg(F.sort_array(F.collect_set("t")).alias("spikes"))
     none = F.lit([]).cast("array<bigint>")
-    return rows.join(times, "roi", "left").select(F.col("roi").alias("neuron"), "voltage", F.coalesce("spikes", none).alias("spikes"))
+    return rows.join(times, "roi", "left").select(F.col("roi").alias("neuron"), "potential", F.coalesce("spikes", none).alias("spikes"))
 
 
 def outlier_flags(trace: DataFrame, factor: float = 4.0, buffer: int = 10) -> DataFrame:

@@ -187,6 +187,18 @@ def resize_nearest(images: DataFrame, old: tuple[int, int], new: tuple[int, int]
     return joined.select("seg", F.col("_y").alias("y"), F.col("_x").alias("x"), value)
 
 
+def resize_masks(pixels: DataFrame, keys: list[str], old: tuple[int, int], new: tuple[int, int]) -> DataFrame:
+    """Regions ``keys, y, x`` at another frame size: each new pixel is of the region that its nearest old one is of."""
+    spark = pixels.sparkSession
+
+    def axis(name: str, a: int, b: int) -> DataFrame:
+        pairs = [(min(a - 1, math.floor((t + 0.5) * a / b)), t) for t in range(b)]
+        return spark.createDataFrame(pairs, f"{name} long, _{name} long")
+
+    joined = pixels.join(F.broadcast(axis("y", old[0], new[0])), "y").join(F.broadcast(axis("x", old[1], new[1])), "x")
+    return joined.select(*keys, F.col("_y").alias("y"), F.col("_x").alias("x"))
+
+
 def pad_or_magnify(images: DataFrame, shape: tuple[int, int], patch: tuple[int, int], how: str = "magnify", value: str = "v") -> DataFrame:
     """Images smaller than a patch brought to its size, by magnifying or by repeating the last row and column."""
     big = tuple(max(a, b) for a, b in zip(shape, patch, strict=True))

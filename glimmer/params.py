@@ -32,14 +32,30 @@ class Params:
     norm_shifts: tuple[bool, bool] = (False, True)
     batch_size: int = 128
     probability_threshold: float = 0.5
-    area_threshold_min: int = 20
-    area_threshold_max: int = 600
+    area_threshold_min: int = 0
+    area_threshold_max: int = 10000
+    concavity_threshold: float = 10.0
     eccentricity_max: float = 0.98
+    intensity_threshold: float = 0.0
+    activity_threshold: float = 0.0
+    background_sigma: float = 10.0
+    background_edge: float = 1.0
+    background_threshold: float = 0.003
     mask_dilation: int = 0
     polarity: int = 1
-    spike_threshold: float = 3.5
+    spike_threshold: float = 2.5
     remove_inactive: bool = False
     representative_iou: float = 0.3
+    run_mode: str = "run"
+    # What only training sets.
+    image_shape: tuple[int, int] | None = None
+    time_frames: int | None = None
+    num_videos: int | None = None
+    num_cells_min: int | None = None
+    num_cells_max: int | None = None
+    model_io_shape: tuple[int, int] | None = None
+    num_darts: int | None = None
+    epochs: int | None = None
 
     def with_overrides(self, user: dict[str, Any]) -> Params:
         """The user's values over these; names may be in upper case."""
@@ -55,11 +71,34 @@ class Params:
 
 # The overrides for the groups of recordings and for training data.
 PRESETS: dict[str, dict[str, Any]] = {
-    "l1": {"signal_method": "med-min", "polarity": -1, "area_threshold_min": 20, "area_threshold_max": 200, "tile_strides": (8, 8), "motion_y_range": 0.5},
-    "teg": {"signal_method": "med-min", "polarity": -1, "area_threshold_min": 120, "area_threshold_max": 600, "tile_strides": (12, 12), "motion_x_range": 0.5, "motion_y_range": 0.5},
-    "hpc": {"first_frame": 50, "signal_downsampling": 1.5, "area_threshold_min": 250, "area_threshold_max": 500, "tile_strides": (4, 4)},
-    "hpc2": {"motion_x_range": 0.7, "tile_margin": (0.0, 0.2), "tile_strides": (8, 16), "norm_shifts": (True, True), "probability_threshold": 0.95, "area_threshold_min": 110, "area_threshold_max": 1000, "remove_inactive": True},
-    "train": {"shading_period": 50},
+    "l1": {
+        "motion_y_range": 0.5, "signal_method": "med-min", "tile_strides": (8, 8), "probability_threshold": 0.2,
+        "area_threshold_min": 20, "area_threshold_max": 200, "concavity_threshold": 1.3, "intensity_threshold": 0.02,
+        "activity_threshold": 0.0, "background_edge": 2.0, "background_threshold": 0.003, "mask_dilation": 1, "polarity": -1,
+    },
+    "teg": {
+        "motion_x_range": 0.5, "motion_y_range": 0.5, "signal_method": "med-min", "tile_strides": (12, 12),
+        "probability_threshold": 0.2, "area_threshold_min": 120, "area_threshold_max": 600, "concavity_threshold": 1.5,
+        "intensity_threshold": 0.005, "activity_threshold": 0.0, "background_edge": 3.0, "background_threshold": 0.003,
+        "mask_dilation": 2, "polarity": -1,
+    },
+    "hpc": {
+        "first_frame": 50, "signal_downsampling": 1.5, "tile_strides": (4, 4), "probability_threshold": 0.2,
+        "area_threshold_min": 250, "area_threshold_max": 500, "concavity_threshold": 1.3, "intensity_threshold": 0.01,
+        "activity_threshold": 0.0, "background_edge": 1.0, "background_threshold": 0.003, "mask_dilation": 0,
+    },
+    "hpc2": {
+        "motion_x_range": 0.7, "tile_strides": (8, 16), "tile_margin": (0.0, 0.2), "norm_shifts": (True, True),
+        "probability_threshold": 0.95, "area_threshold_min": 110, "area_threshold_max": 1000, "concavity_threshold": 1.5,
+        "intensity_threshold": 0.01, "activity_threshold": 0.001, "background_edge": 1.0, "background_threshold": 0.003,
+        "mask_dilation": 1, "spike_threshold": 2.5, "remove_inactive": True,
+    },
+    "train": {
+        "run_mode": "train", "image_shape": (128, 128), "time_frames": 1000, "num_videos": 1000, "num_cells_min": 5,
+        "num_cells_max": 30, "model_io_shape": (64, 64), "num_darts": 10, "batch_size": 128, "epochs": 20,
+        "tile_strides": (16, 16), "probability_threshold": 0.5, "area_threshold_min": 50, "area_threshold_max": 1000,
+        "concavity_threshold": 1.5, "background_edge": 0.0, "background_threshold": 0.0,
+    },
 }
 
 

@@ -42,10 +42,10 @@ def shuffled_split(spark, d):
     return sampling.shuffled_split(table(spark, d, "part").select("p_partkey"), "p_partkey", 3, 5)
 
 
-@query("kfold_split", """WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS r, count(*) OVER () AS n FROM part WHERE p_partkey % 3 <> 1)
+@query("kfold_split", """WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS r, count(*) OVER () AS n FROM part)
     SELECT p_partkey, CAST(CASE WHEN r < (n % 13) * (n // 13 + 1) THEN r // (n // 13 + 1) ELSE n % 13 + (r - (n % 13) * (n // 13 + 1)) // (n // 13) END AS BIGINT) AS fold FROM r""")
 def kfold_split(spark, d):
-    return sampling.fold_of(table(spark, d, "part").where("p_partkey % 3 <> 1").select("p_partkey"), "p_partkey", 13)
+    return sampling.fold_of(table(spark, d, "part").select("p_partkey"), "p_partkey", 13)
 
 
 @query("held_back", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 0)")

@@ -90,12 +90,12 @@ def standardize(spark, d):
 
 
 @query("composite", sql("""SELECT frame, y, x, round(CASE WHEN g.y1 IS NULL THEN adu ELSE 0.7 * adu + 0.3 * 1500 * (frame % 4) / 4 END, 6) AS v
-    FROM video LEFT JOIN (SELECT DISTINCT y AS y1, x AS x1 FROM gt WHERE roi < 3) g ON y = y1 AND x = x1""", "video", "gt"))
+    FROM video LEFT JOIN (SELECT DISTINCT y AS y1, x AS x1 FROM gt) g ON y = y1 AND x = x1""", "video", "gt"))
 def composite(spark, d):
     from glimmer.sources.views import gt
 
     v = video(spark, d)
-    overlay = gt(spark, d).where("roi < 3").select("y", "x").distinct().withColumn("w", F.lit(1500))
+    overlay = gt(spark, d).select("y", "x").distinct().withColumn("w", F.lit(1500))
     level = v.select("frame").distinct().select("frame", (F.col("frame") % 4 / 4).alias("level"))
     return _r(frames.composite(v, overlay, level, 0.3), "v")
 

@@ -16,7 +16,7 @@ _NCC = """+ p AS (SELECT 2 + a.i * 2 AS cy, 2 + b.i * 2 AS cx FROM range(3) a(i)
     r AS (SELECT y, x, CAST(adu AS DOUBLE) AS r FROM video WHERE frame = 0),
     z AS (SELECT o.dx, o.dy, cy, cx, r, least(7, greatest(0, q.y + dy)) AS ty, least(7, greatest(0, q.x + dx)) AS tx FROM q JOIN r ON q.y = r.y AND q.x = r.x, o),
     s AS (SELECT frame, dx, dy, cy, cx, avg(r) AS r, avg(r * r) AS rr, avg(adu) AS t, avg(CAST(adu AS DOUBLE) * adu) AS tt, avg(r * adu) AS rt
-      FROM z JOIN video v ON v.y = ty AND v.x = tx WHERE frame > 0 AND frame < 60 GROUP BY ALL),
+      FROM z JOIN video v ON v.y = ty AND v.x = tx WHERE frame > 0 GROUP BY ALL),
     c AS (SELECT frame, dx, dy, sum(rr * (rt - r * t) / sqrt(greatest(0, rr - r * r) * greatest(0, tt - t * t) + 1e-6)) AS corr FROM s GROUP BY ALL)"""
 _BEST = f"""{_NCC}, k AS (SELECT *, dx + 1 AS i, dy + 1 AS j, greatest(corr, 0) AS s FROM c),
     b AS (SELECT frame, i, j, s FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY s DESC, i, j) AS n FROM k) WHERE n = 1)"""
@@ -27,7 +27,7 @@ def _video(spark, d):
 
 
 def _corr(spark, d):
-    v = _video(spark, d).where("frame < 60")  # as in the SQL
+    v = _video(spark, d)
     return motion.correlations(v.where("frame > 0"), v.where("frame = 0"), _SEARCH, SIDE, SIDE)
 
 
@@ -41,17 +41,16 @@ def argmax_offset(spark, d):
     return motion.best_offset(_corr(spark, d), 1).select("frame", "i", "j", F.round("corr", 1).alias("corr"))
 
 
-def _at(di: str, dj: str) -> str:
-    return f"max(CASE WHEN k.i = least(2, greatest(0, b.i {di})) AND k.j = least(2, greatest(0, b.j {dj})) THEN k.corr END)"
-
-
-_NINE = ", ".join(f"{_at(di, dj)} AS {a}{b}" for a, di in (("m", "- 1"), ("c", "+ 0"), ("p", "+ 1")) for b, dj in (("m", "- 1"), ("c", "+ 0"), ("p", "+ 1")))
+def _moment(term: str) -> str:
+    return f"sum(({term}) * v)"
 
 
-@query("subpixel", sql(f"""{_BEST}, n AS (SELECT b.frame, b.i, b.j, {_NINE} FROM b JOIN k ON k.frame = b.frame GROUP BY ALL),
-    f AS (SELECT frame, i, j, (mm - 2*cm + pm + mc - 2*cc + pc + mp - 2*cp + pp) / 6 AS a, (mm - pm - mp + pp) / 4 AS b,
-      (mm + cm + pm - 2*mc - 2*cc - 2*pc + mp + cp + pp) / 6 AS c, (pm - mm + pc - mc + pp - mp) / 6 AS d, (mp - mm + cp - cm + pp - pm) / 6 AS e FROM n),
-    t AS (SELECT frame, i, j, (b*e - 2*c*d) / nullif(4*a*c - b*b, 0) AS px, (b*d - 2*a*e) / nullif(4*a*c - b*b, 0) AS py FROM f)
+# sums over the nine points, orthogonalised: 1, x, y, xy, and x^2 and y^2 less their mean of 2/3
+@query("subpixel", sql(f"""{_BEST}, g AS (SELECT b.frame, b.i, b.j, x, y, k.corr AS v FROM b, range(-1, 2) p(x), range(-1, 2) q(y)
+      JOIN k ON k.frame = b.frame AND k.i = least(2, greatest(0, b.i + x)) AND k.j = least(2, greatest(0, b.j + y))),
+    f AS (SELECT frame, i, j, {_moment("x")} / 6 AS gx, {_moment("y")} / 6 AS gy, {_moment("x * y")} / 4 AS hxy,
+      {_moment("x * x - 2.0::DOUBLE / 3")} AS hxx, {_moment("y * y - 2.0::DOUBLE / 3")} AS hyy FROM g GROUP BY ALL),
+    t AS (SELECT frame, i, j, (hxy * gy - hyy * gx) / nullif(hxx * hyy - hxy * hxy, 0) AS px, (hxy * gx - hxx * gy) / nullif(hxx * hyy - hxy * hxy, 0) AS py FROM f)
     SELECT frame, round(i - 1 + CASE WHEN abs(px) < 1 AND abs(py) < 1 THEN px ELSE 0 END, 5) AS mx,
     round(j - 1 + CASE WHEN abs(px) < 1 AND abs(py) < 1 THEN py ELSE 0 END, 5) AS my FROM t""", "video"))
 def subpixel(spark, d):

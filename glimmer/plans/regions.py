@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from glimmer.operators import morphology, rois, signals
 from glimmer.plans.registry import query
-from glimmer.sources.views import SIDE, ev, gt, sql, video
+from glimmer.sources.views import SIDE, WIDE, ev, gt, sql, video, wide_ev, wide_gt
 
 _IN = "y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 7"
 _BRIGHT = "SELECT frame // 50 AS seg, y, x FROM video GROUP BY ALL HAVING max(adu) > 1330"
@@ -18,9 +18,9 @@ def bright(spark, d):
     return high.where("m > 1330").select("seg", "y", "x")
 
 
-@query("overlap_removed", sql("SELECT roi, y, x FROM (SELECT *, count(*) OVER (PARTITION BY y, x) AS n FROM ev) WHERE n = 1", "ev"))
+@query("overlap_removed", sql("SELECT roi, y, x FROM (SELECT *, count(*) OVER (PARTITION BY y, x) AS n FROM wide_ev) WHERE n = 1", "wide_ev"))
 def overlap_removed(spark, d):
-    return rois.without_overlap(ev(spark, d))
+    return rois.without_overlap(wide_ev(spark, d))
 
 
 @query("trace_extract", sql("SELECT roi, frame, avg(adu) AS v FROM video JOIN ev USING (y, x) GROUP BY ALL", "video", "ev"))
@@ -49,19 +49,19 @@ def mask_union(spark, d):
     return rois.union_footprint(ev(spark, d), gt(spark, d))
 
 
-@query("mask_intersect", sql("SELECT y, x FROM ev WHERE roi < 4 INTERSECT SELECT y, x FROM gt WHERE roi < 4", "ev", "gt"))
+@query("mask_intersect", sql("SELECT y, x FROM wide_ev INTERSECT SELECT y, x FROM wide_gt", "wide_ev", "wide_gt"))
 def mask_intersect(spark, d):
-    return rois.common_footprint(ev(spark, d).where("roi < 4"), gt(spark, d).where("roi < 4"))
+    return rois.common_footprint(wide_ev(spark, d), wide_gt(spark, d))
 
 
-@query("mask_difference", sql("SELECT y, x FROM gt WHERE roi < 9 EXCEPT SELECT y, x FROM ev WHERE roi < 9", "ev", "gt"))
+@query("mask_difference", sql("SELECT y, x FROM wide_gt EXCEPT SELECT y, x FROM wide_ev", "wide_ev", "wide_gt"))
 def mask_difference(spark, d):
-    return rois.footprint_difference(gt(spark, d).where("roi < 9"), ev(spark, d).where("roi < 9"))
+    return rois.footprint_difference(wide_gt(spark, d), wide_ev(spark, d))
 
 
-@query("mask_complement", sql("SELECT i // 8 AS y, i % 8 AS x FROM range(64) t(i) EXCEPT SELECT y, x FROM ev WHERE roi < 6", "ev"))
+@query("mask_complement", sql("SELECT i // 64 AS y, i % 64 AS x FROM range(4096) t(i) EXCEPT SELECT y, x FROM wide_ev", "wide_ev"))
 def mask_complement(spark, d):
-    return rois.complement(ev(spark, d).where("roi < 6"), SIDE, SIDE)
+    return rois.complement(wide_ev(spark, d), WIDE, WIDE)
 
 
 _PROPS = """SELECT roi, count(*) AS area, min(y) AS y_min, min(x) AS x_min, max(y) + 1 AS y_max, max(x) + 1 AS x_max,
@@ -176,7 +176,7 @@ def convex_area(spark, d):
 
 @query("nmf_demix")
 def nmf_demix(spark, d):
-    return morphology.demix(bright(spark, d).withColumn("grp", F.lit(0).cast("long")), SIDE, SIDE, 3)
+    return morphology.demix(bright(spark, d).withColumn("grp", F.lit(0).cast("long")), 3)
 
 
 @query("compute_masks")
@@ -186,7 +186,28 @@ def compute_masks(spark, d):
     prob = signals.segment_signals(video(spark, d), 50)
     peak = prob.groupBy("seg").agg(F.max("temporal").alias("_m"))
     prob = prob.join(peak, "seg").select("seg", "y", "x", (F.col("temporal") / F.col("_m")).alias("p"))
-    return run(prob, signals.projection(video(spark, d), "mean"), SIDE, SIDE)
+    image = signals.projection(video(spark, d), "mean")
+    return run(prob, image, SIDE, SIDE, 0.8, 2, 40, intensity=-50.0, activity=-50.0, background_sigma=2.0, background_threshold=0.0, dilation=1)
+
+
+_GAUSS2 = "SELECT i - 8 AS k, exp(-0.5 * ((i - 8) / 2.0::DOUBLE) ** 2) AS g FROM range(17) t(i)"
+_GAUSS1 = "SELECT i - 4 AS k, exp(-0.5 * (i - 4) ** 2) AS g FROM range(9) t(i)"
+
+
+@query("foreground", f"""WITH RECURSIVE video AS (SELECT vec_id AS frame, (i-1)//8 AS y, (i-1)%8 AS x, CAST(floor((CAST(embedding[i] AS DOUBLE)+1)*1000) AS BIGINT) AS adu
+    FROM embeddings, unnest(range(1,65)) AS u(i)), m AS (SELECT frame // 50 AS seg, y, x, avg(adu) AS v FROM video GROUP BY ALL),
+    a AS ({_GAUSS2}), wa AS (SELECT k, g / (SELECT sum(g) FROM a) AS g FROM a), b AS ({_GAUSS1}), wb AS (SELECT k, g / (SELECT sum(g) FROM b) AS g FROM b),
+    c AS (SELECT seg, y, t.i AS x, sum(v * g) AS v FROM range(8) t(i), wa JOIN m ON m.x = least(7, greatest(0, t.i + k)) GROUP BY ALL),
+    s AS (SELECT seg, t.i AS y, c.x, sum(v * g) AS v FROM range(8) t(i), wa JOIN c ON c.y = least(7, greatest(0, t.i + k)) GROUP BY ALL),
+    w AS (SELECT t.i AS p, sum(g) AS g FROM range(8) t(i), wb WHERE t.i + k BETWEEN 0 AND 7 GROUP BY ALL),
+    h AS (SELECT m.seg, m.y, m.x FROM m JOIN s ON s.seg = m.seg AND s.y = m.y AND s.x = m.x JOIN w wy ON wy.p = m.y JOIN w wx ON wx.p = m.x WHERE m.v * wy.g * wx.g - s.v > 9),
+    e AS (SELECT DISTINCT seg, y + p.i AS y, x + q.i AS x FROM h, range(-1, 2) p(i), range(-1, 2) q(i) WHERE abs(p.i) + abs(q.i) <= 1 AND y + p.i BETWEEN 0 AND 7 AND x + q.i BETWEEN 0 AND 7),
+    g AS (SELECT seg, i // 8 AS y, i % 8 AS x FROM (SELECT DISTINCT seg FROM e), range(64) t(i) EXCEPT SELECT * FROM e),
+    r AS (SELECT * FROM g WHERE y IN (0, 7) OR x IN (0, 7) UNION SELECT g.* FROM r JOIN g ON g.seg = r.seg AND abs(g.y - r.y) + abs(g.x - r.x) = 1)
+    SELECT * FROM e UNION SELECT * FROM (SELECT * FROM g EXCEPT SELECT * FROM r)""")
+def foreground(spark, d):
+    means = video(spark, d).groupBy(F.expr("frame div 50").alias("seg"), "y", "x").agg(F.avg("adu").alias("v"))
+    return morphology.foreground(means, ["seg"], SIDE, SIDE, 2.0, 1.0, 9.0, 1)[0]
 
 
 @query("contour_edges", sql("""+ s(a, b, c, d, e, f) AS (VALUES (0, 0, 1, 0, 0, -1), (1, 0, 1, 1, 1, 0), (1, 1, 0, 1, 0, 1), (0, 1, 0, 0, -1, 0))
@@ -195,9 +216,9 @@ def contour_edges(spark, d):
     return morphology.contour_edges(gt(spark, d), ["roi"])
 
 
-@query("background_pixels", sql(f"""+ u AS (SELECT DISTINCT y, x FROM ev WHERE roi < 3),
-    g AS (SELECT DISTINCT y + dy AS y, x + dx AS x FROM u, {_MOVES} WHERE y + dy BETWEEN 0 AND 7 AND x + dx BETWEEN 0 AND 7)
-    SELECT i // 8 AS y, i % 8 AS x FROM range(64) t(i) EXCEPT SELECT y, x FROM g""", "ev"))
+@query("background_pixels", sql(f"""+ u AS (SELECT DISTINCT y, x FROM wide_ev),
+    g AS (SELECT DISTINCT y + dy AS y, x + dx AS x FROM u, {_MOVES} WHERE y + dy BETWEEN 0 AND 63 AND x + dx BETWEEN 0 AND 63)
+    SELECT i // 64 AS y, i % 64 AS x FROM range(4096) t(i) EXCEPT SELECT y, x FROM g""", "wide_ev"))
 def background_pixels(spark, d):
-    union = rois.union_footprint(ev(spark, d).where("roi < 3"))
-    return rois.complement(morphology.dilate(union, 1, SIDE, SIDE), SIDE, SIDE)
+    union = rois.union_footprint(wide_ev(spark, d))
+    return rois.complement(morphology.dilate(union, 1, WIDE, WIDE), WIDE, WIDE)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from glimmer.operators import matching
 from glimmer.plans.registry import query
-from glimmer.sources.views import ev, every_ev, gt, runs, sql, table
+from glimmer.sources.views import ev, gt, runs, sql, table
 
 
 def _iou(spark, d):
@@ -51,7 +51,7 @@ def representative_f1(spark, d):
 
 @query("matched_counts")
 def matched_counts(spark, d):
-    return matching.matched_counts(matching.iou_matrix(every_ev(spark, d), gt(spark, d)))
+    return matching.matched_counts(matching.iou_matrix(ev(spark, d), gt(spark, d)))
 
 
 _REGIONAL = """+ i AS (SELECT n_regionkey AS dataset, iou.* FROM iou JOIN nation ON n_nationkey = gt_id),

@@ -57,14 +57,14 @@ def remove_inactive(spark, d):
 
 
 @query("nested_spikes", sql(f"""{_PEAKS}, s AS (SELECT roi, count(DISTINCT t) AS n, min(t) AS first FROM p GROUP BY roi)
-    SELECT t.roi AS neuron, count(*) AS n_voltage, coalesce(any_value(s.n), 0) AS n_spikes, any_value(s.first) AS first_spike, CAST(sum(v * (t.t % 7)) AS BIGINT) AS check_sum
+    SELECT t.roi AS neuron, count(*) AS n_potential, coalesce(any_value(s.n), 0) AS n_spikes, any_value(s.first) AS first_spike, CAST(sum(v * (t.t % 7)) AS BIGINT) AS check_sum
     FROM trace t LEFT JOIN s ON s.roi = t.roi GROUP BY t.roi""", "trace"))
 def nested_spikes(spark, d):
     t = trace(spark, d)
     rows = spikes.nested_spikes(t, spikes.find_peaks(t, 5000))
-    mixed = F.aggregate(F.transform("voltage", lambda v, i: v * (i % 7)), F.lit(0).cast("long"), lambda a, v: a + v)
+    mixed = F.aggregate(F.transform("potential", lambda v, i: v * (i % 7)), F.lit(0).cast("long"), lambda a, v: a + v)
     return rows.select(
-        "neuron", F.size("voltage").cast("long").alias("n_voltage"), F.size("spikes").cast("long").alias("n_spikes"),
+        "neuron", F.size("potential").cast("long").alias("n_potential"), F.size("spikes").cast("long").alias("n_spikes"),
         F.get("spikes", F.lit(0)).alias("first_spike"), mixed.alias("check_sum"),
     )
 
@@ -92,11 +92,15 @@ def moving_residual(spark, d):
 
 
 @query("photobleach_trend", sql("""+ f AS (SELECT roi, t // 20 AS seg, CAST(t % 20 AS DOUBLE) AS x, v FROM trace WHERE t % 4 <> 0),
-    l AS (SELECT roi, seg, regr_slope(v, x) AS b, regr_intercept(v, x) AS a FROM f WHERE seg > 0 GROUP BY ALL)
-    SELECT roi, t // 20 AS seg, t, round(a + b * (t % 20), 4) AS trend FROM trace LEFT JOIN l ON l.roi = trace.roi AND l.seg = t // 20 WHERE t >= 20""".replace("SELECT roi, t // 20 AS seg, t, round", "SELECT trace.roi, t // 20 AS seg, t, round"), "trace"))
+    s AS (SELECT roi, seg, CAST(count(*) AS DOUBLE) AS s0, sum(x) AS s1, sum(x * x) AS s2, sum(x * x * x) AS s3, sum(x * x * x * x) AS s4,
+      CAST(sum(v) AS DOUBLE) AS p0, sum(x * v) AS p1, sum(x * x * v) AS p2, regr_slope(v, x) AS b, regr_intercept(v, x) AS a FROM f GROUP BY ALL),
+    q AS (SELECT *, nullif(s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2), 0) AS det FROM s),
+    l AS (SELECT roi, seg, CASE WHEN seg = 0 THEN (p0 * (s2 * s4 - s3 * s3) - s1 * (p1 * s4 - s3 * p2) + s2 * (p1 * s3 - s2 * p2)) / det ELSE a END AS c0,
+      CASE WHEN seg = 0 THEN (s0 * (p1 * s4 - s3 * p2) - p0 * (s1 * s4 - s2 * s3) + s2 * (s1 * p2 - p1 * s2)) / det ELSE b END AS c1,
+      CASE WHEN seg = 0 THEN (s0 * (s2 * p2 - p1 * s3) - s1 * (s1 * p2 - p1 * s2) + p0 * (s1 * s3 - s2 * s2)) / det ELSE 0 END AS c2 FROM q)
+    SELECT trace.roi, t // 20 AS seg, t, round(c0 + c1 * (t % 20) + c2 * (t % 20) ** 2, 4) AS trend FROM trace LEFT JOIN l ON l.roi = trace.roi AND l.seg = t // 20""", "trace"))
 def photobleach_trend(spark, d):
-    out = spikes.photobleach_trend(trace(spark, d), 20, F.col("t") % 4 != 0)
-    return _r(out.where("seg > 0"), "trend", digits=4)
+    return _r(spikes.photobleach_trend(trace(spark, d), 20, F.col("t") % 4 != 0), "trend", digits=4)
 
 
 @query("mad_threshold", sql("""+ m AS (SELECT y, x, quantile_cont(CAST(adu AS DOUBLE), 0.5) AS m FROM video GROUP BY ALL),
@@ -107,11 +111,11 @@ def mad_threshold(spark, d):
 
 
 @query("residualize", sql("""+ r AS (SELECT roi, t, t // 25 AS seg, v, (t * 7 % 11) * 1.0::DOUBLE AS mx, (t * 5 % 13) * 1.0::DOUBLE AS my FROM trace),
-    s AS (SELECT roi, seg, var_pop(mx) AS xx, var_pop(my) AS yy, covar_pop(mx, my) AS xy, covar_pop(mx, v) AS xv, covar_pop(my, v) AS yv, avg(mx) AS ax, avg(my) AS ay, count(*) AS n FROM r GROUP BY ALL)
-    SELECT r.roi, t, round(v - (xv * yy - yv * xy) / (xx * yy - xy * xy) * (mx - ax) - (yv * xx - xv * xy) / (xx * yy - xy * xy) * (my - ay), 4) AS v FROM r JOIN s ON r.roi = s.roi AND r.seg = s.seg WHERE n = 25""", "trace"))
+    s AS (SELECT roi, seg, var_pop(mx) AS xx, var_pop(my) AS yy, covar_pop(mx, my) AS xy, covar_pop(mx, v) AS xv, covar_pop(my, v) AS yv, avg(mx) AS ax, avg(my) AS ay, count(*) AS n FROM r GROUP BY ALL),
+    g AS (SELECT *, CASE WHEN xx * yy - xy * xy > 1e-9 * greatest(1e-12, xx * yy) THEN xx * yy - xy * xy END AS det FROM s)
+    SELECT r.roi, t, round(CASE WHEN det IS NULL THEN v ELSE v - (xv * yy - yv * xy) / det * (mx - ax) - (yv * xx - xv * xy) / det * (my - ay) END, 4) AS v
+    FROM r JOIN g ON r.roi = g.roi AND r.seg = g.seg""", "trace"))
 def residualize(spark, d):
     t = trace(spark, d)
-    whole = t.groupBy("roi", F.expr("t div 25").alias("seg")).agg(F.count("*").alias("n")).where("n = 25")
     times = t.select("t").distinct().select("t", (F.col("t") * 7 % 11).cast("double").alias("mx"), (F.col("t") * 5 % 13).cast("double").alias("my"))
-    out = spikes.residualize(t, times, 25).withColumn("seg", F.expr("t div 25")).join(whole, ["roi", "seg"], "left_semi")
-    return _r(out.select("roi", "t", "v"), "v", digits=4)
+    return _r(spikes.residualize(t, times, 25), "v", digits=4)

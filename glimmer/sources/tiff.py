@@ -98,9 +98,17 @@ def pack(video: DataFrame, height: int, width: int, kind: str = "f4") -> DataFra
     return video.groupBy("dataset").applyInPandas(over, "dataset string, content binary")
 
 
-def masks_to_pages(rois: DataFrame) -> DataFrame:
-    """Member pixels as 8-bit pages, for :func:`pack`: 255 inside.  No region at all is one black page."""
-    return rois.select("dataset", F.col("roi").alias("frame"), "y", "x", F.lit(255.0).alias("v"))
+def masks_to_pages(rois: DataFrame, datasets: DataFrame | None = None) -> DataFrame:
+    """Member pixels as 8-bit pages, for :func:`pack`: 255 inside.
+
+    Each of ``datasets`` (``dataset``) without a region has one black page.
+    """
+    pages = rois.select("dataset", F.col("roi").cast("long").alias("frame"), "y", "x", F.lit(255.0).alias("v"))
+    if datasets is None:
+        return pages
+    empty = datasets.select("dataset").distinct().join(rois, "dataset", "left_anti")
+    corner = F.lit(0).cast("long")
+    return pages.unionByName(empty.select("dataset", corner.alias("frame"), corner.alias("y"), corner.alias("x"), F.lit(0.0).alias("v")))
 
 
 def pages_to_masks(video: DataFrame) -> DataFrame:

@@ -52,13 +52,19 @@ def gt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return every_ev(spark, sf_dir).where("roi <= 20")
+    return _squares(table(spark, sf_dir, "supplier"), "s_suppkey", "(s_suppkey * 7 + 1) % 6", "(s_suppkey div 4) % 6")
 
 
-def every_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``ev`` of all suppliers, for queries without SQL."""
-    rows = table(spark, sf_dir, "supplier")
-    return _squares(rows, "s_suppkey", "(s_suppkey * 7 + 1) % 6", "(s_suppkey div 4) % 6")
+#: Height and width of the frame of ``wide_gt`` and ``wide_ev``, which regions cover in part only.
+WIDE = 64
+
+
+def wide_gt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _squares(table(spark, sf_dir, "nation"), "n_nationkey", "(n_nationkey * 37) % 62", "(n_nationkey * 11) % 61")
+
+
+def wide_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _squares(table(spark, sf_dir, "supplier"), "s_suppkey", "(s_suppkey * 38 + 1) % 62", "(s_suppkey * 11) % 61")
 
 
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +93,11 @@ SQL = {
     "gt": """SELECT CAST(n_nationkey AS BIGINT) AS roi, CAST(n_nationkey%6 + i//3 AS BIGINT) AS y,
         CAST((n_nationkey//6)%6 + i%3 AS BIGINT) AS x FROM nation, range(9) t(i)""",
     "ev": """SELECT s_suppkey AS roi, CAST((s_suppkey*7+1)%6 + i//3 AS BIGINT) AS y,
-        CAST((s_suppkey//4)%6 + i%3 AS BIGINT) AS x FROM supplier, range(9) t(i) WHERE s_suppkey <= 20""",
+        CAST((s_suppkey//4)%6 + i%3 AS BIGINT) AS x FROM supplier, range(9) t(i)""",
+    "wide_gt": """SELECT CAST(n_nationkey AS BIGINT) AS roi, CAST((n_nationkey*37)%62 + i//3 AS BIGINT) AS y,
+        CAST((n_nationkey*11)%61 + i%3 AS BIGINT) AS x FROM nation, range(9) t(i)""",
+    "wide_ev": """SELECT s_suppkey AS roi, CAST((s_suppkey*38+1)%62 + i//3 AS BIGINT) AS y,
+        CAST((s_suppkey*11)%61 + i%3 AS BIGINT) AS x FROM supplier, range(9) t(i)""",
     "trace": """SELECT user_id AS roi, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)-1 AS t,
         CAST(round(value*100) AS BIGINT) AS v FROM events""",
     "runs": """SELECT l_suppkey AS dataset, l_linenumber AS stage, CAST(sum(l_quantity) AS DOUBLE) AS sec, count(*) AS frames,

@@ -24,6 +24,8 @@ def test_tiff_round_trip(spark, tmp_path):
 def test_masks_as_pages(spark, tmp_path):
     rows = [("d", 0, 1, 1), ("d", 0, 1, 2), ("d", 2, 0, 0)]
     masks = spark.createDataFrame(rows, "dataset string, roi long, y long, x long")
+    none = tiff.masks_to_pages(masks.limit(0), masks.select("dataset").distinct())
+    assert [p.tolist() for p in tiff.decode(tiff.pack(none, 3, 4, "u1").first().content)] == [[[0] * 4] * 3]
     content = tiff.pack(tiff.masks_to_pages(masks), 3, 4, "u1").first().content
     (tmp_path / "d.tif").write_bytes(bytes(content))
     back = contours.read_regions(spark, str(tmp_path / "d.tif"), 3, 4)

@@ -198,7 +198,7 @@ def test_shapes(spark):
 def test_demix_parts_overlapping_masks(spark):
     rows = [(0, s, y, x) for s in range(6) for y in range(3) for x in range(3)]
     rows += [(0, s, y, x) for s in range(4, 12) for y in range(2, 5) for x in range(5, 8)]
-    got = morphology.demix(spark.createDataFrame(rows, "grp long, seg long, y long, x long"), 8, 8, 3)
+    got = morphology.demix(spark.createDataFrame(rows, "grp long, seg long, y long, x long"), 3)
     parts = {}
     for r in got.collect():
         parts.setdefault(r.component, set()).add((r.y, r.x))
@@ -310,3 +310,102 @@ def test_background_components_match_svd(spark):
     for k in range(2):
         mine = np.array([r.v for r in sorted((r for r in got if r.component == k), key=lambda r: (r.y, r.x))])
         assert np.allclose(np.abs(mine @ vt[k]), 1)
+
+
+def test_demix_filters(spark):
+    def left(points, **limits):
+        rows = [(0, s, y, x, 0.5, 0.4) for s in range(4) for y, x in points]
+        got = morphology.demix(spark.createDataFrame(rows, "grp long, seg long, y long, x long, img double, prb double"), 3, **limits)
+        return sorted((r.y, r.x) for r in got.collect())
+
+    square = sorted((y, x) for y in range(5, 9) for x in range(3, 7))
+    ring = sorted((y, x) for y in range(9) for x in range(9) if max(abs(y - 4), abs(x - 4)) == 4)
+    line = [(3, x) for x in range(12)]
+    assert left(square) == square
+    assert left(ring, concavity=10.0) == ring and left(ring, concavity=81 / 32 - 0.01) == [] and left(ring, concavity=81 / 32) == ring
+    assert left(line) == [] and left(line, eccentricity=1.0) == line
+    assert left(square, intensity=0.5) == square and left(square, intensity=0.51) == []
+    assert left(square, activity=0.2) == square and left(square, activity=0.21) == []
+
+
+def test_compute_masks_of_two_datasets_by_hand(spark):
+    from glimmer.plans.masks import compute_masks
+
+    h, w = 30, 40
+    cells = {"a": [(5, 5), (5, 9), (20, 30)], "b": [(12, 12)]}  # corners of squares of 6; the first two overlap
+    active = {("a", 0): [0], ("a", 1): [0], ("a", 2): [0], ("a", 3): [0], ("a", 4): [1], ("a", 5): [2], ("b", 0): [0], ("b", 1): []}
+    square = lambda c: {(y, x) for y in range(c[0], c[0] + 6) for x in range(c[1], c[1] + 6)}
+    prob, image = [], []
+    for d, corners in cells.items():
+        lit = set().union(*map(square, corners))
+        image += [(d, y, x, 1.0 if (y, x) in lit else 0.0) for y in range(h) for x in range(w)]
+    for (d, seg), who in active.items():
+        on = set().union(*(square(cells[d][i]) for i in who))
+        on |= {(28, 2), (28, 3), (28, 4)} if d == "a" else set()  # no cell there: the image is dark
+        prob += [(d, seg, y, x, 0.9 if (y, x) in on else 0.1) for y in range(h) for x in range(w)]
+    prob = spark.createDataFrame(prob, "dataset string, seg long, y long, x long, p double")
+    image = spark.createDataFrame(image, "dataset string, y long, x long, v double")
+    run = lambda **more: compute_masks(prob, image, h, w, area_min=3, keys=["dataset"], background_sigma=5.0, **more)
+
+    def regions(df):
+        out = {}
+        for r in df.collect():
+            out.setdefault((r.dataset, r.roi), set()).add((r.y, r.x))
+        return out
+
+    got = regions(run())
+    want = [square((5, 5)), square((5, 9)) - square((5, 5)), square((20, 30)), square((12, 12))]  # what is shared goes to the one that is active more
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want))
+    assert sorted(k[1] for k in got if k[0] == "a") == [0, 1, 2]
+    assert run(area_max=30).count() == 0 and run(intensity=2.0).count() == 0
+    grown = regions(run(dilation=1))
+    assert sorted(map(len, grown.values())) == [6 * 4 + 20, 60, 60, 60]
+    large = regions(run(out_shape=(2 * h, 2 * w)))
+    assert sorted(map(len, large.values())) == [96, 144, 144, 144]
+
+
+def test_foreground_and_vignette(spark):
+    assert morphology._vignette(5, 0) == [1.0] * 5
+    row = morphology._vignette(40, 2.0)
+    assert len(row) == 40 and abs(row[20] - 1) < 1e-9 and 0.5 < row[0] < 0.7 and np.allclose(row, row[::-1])
+    flat = spark.createDataFrame([(0, y, x, 3.0) for y in range(12) for x in range(12)], "k int, y long, x long, v double")
+    pixels_, above = morphology.foreground(flat, ["k"], 12, 12, 2.0, 1.0, 0.003)
+    assert pixels_.count() == 0 and above.agg({"v": "max"}).first()[0] < 1e-9
+
+
+def test_majority_of_one_annotator(spark):
+    sets = spark.createDataFrame([(0, 5, 1, 1), (0, 5, 1, 2), (0, 6, 4, 4)], "annotator int, roi int, y int, x int")
+    assert sorted((r.y, r.x) for r in matching.majority_vote(sets).collect()) == [(1, 1), (1, 2), (4, 4)]
+    two = sets.unionByName(spark.createDataFrame([(1, 9, 1, 1)], sets.schema))  # alone of two: no majority
+    assert {(r.y, r.x) for r in matching.majority_vote(two).collect()} <= {(1, 1), (1, 2)}
+
+
+def test_block_matching_against_plain_loops(spark):
+    rnd = np.random.default_rng(3)
+    h, w, search = 20, 24, motion.Search(radius=2, patch=3, spacing=4)
+    frames_ = rnd.random((3, h, w))
+    rows = [(f, y, x, float(frames_[f, y, x])) for f in range(3) for y in range(h) for x in range(w)]
+    video = spark.createDataFrame(rows, "frame long, y long, x long, v double")
+    base = spark.createDataFrame([(1, 1, -1), (2, 0, 2)], "frame long, bx long, by long")
+    got = {(r.frame, r.dx, r.dy): r.corr for r in motion.correlations(video.where("frame > 0"), video.where("frame = 0"), search, h, w, base).collect()}
+    assert len(got) == 50
+    for f, bx, by in ((1, 1, -1), (2, 0, 2)):
+        for dx in range(bx - 2, bx + 3):
+            for dy in range(by - 2, by + 3):
+                total = 0.0
+                for cy in search.centers(h, 1.0, by):
+                    for cx in search.centers(w, 1.0, bx):
+                        ys = [y for y in range(cy - 3, cy + 4) if 0 <= y < h]
+                        xs = [x for x in range(cx - 3, cx + 4) if 0 <= x < w]
+                        r = np.array([frames_[0, y, x] for y in ys for x in xs])
+                        t = np.array([frames_[f, min(h - 1, max(0, y + dy)), min(w - 1, max(0, x + dx))] for y in ys for x in xs])
+                        cov = (r * t).mean() - r.mean() * t.mean()
+                        total += (r * r).mean() * cov / np.sqrt(r.var() * t.var() + 1e-6)
+                assert abs(got[f, dx, dy] - total) < 1e-9
+
+
+def test_surface_fit_is_least_squares():
+    x, y = np.array(motion._GRID, float).T
+    v = np.random.default_rng(1).random(9)
+    want = np.linalg.lstsq(np.stack([x**0, x, y, x * x, x * y, y * y], axis=1), v, rcond=None)[0]
+    assert np.allclose(motion._surface() @ v, want)

@@ -24,7 +24,7 @@ def test_demix_goes_on_beyond_twenty_rounds(spark):
         for _ in range(i + 1):
             rows += [(0, seg, 3 * (i // 6) + a, 3 * (i % 6) + b) for a in (0, 1) for b in (0, 1)]
             seg += 1
-    got = morphology.demix(spark.createDataFrame(rows, "grp long, seg long, y long, x long"), 18, 18, 3).collect()
+    got = morphology.demix(spark.createDataFrame(rows, "grp long, seg long, y long, x long"), 3).collect()
     parts = {}
     for r in got:
         parts.setdefault(r.component, set()).add((r.y, r.x))
@@ -48,8 +48,8 @@ def test_traces_cover_all_regions(spark, name):
 def test_matched_counts_take_all_regions(spark):
     sf = "/root/testdata/sf0.01"
     from glimmer.operators import matching
-    from glimmer.sources.views import every_ev, gt
+    from glimmer.sources.views import ev, gt
 
-    assert every_ev(spark, sf).select("roi").distinct().count() == spark.read.parquet(f"{sf}/supplier.parquet").count()
-    want = matching.matched_counts(matching.iou_matrix(every_ev(spark, sf), gt(spark, sf))).collect()
+    assert ev(spark, sf).select("roi").distinct().count() == spark.read.parquet(f"{sf}/supplier.parquet").count()
+    want = matching.matched_counts(matching.iou_matrix(ev(spark, sf), gt(spark, sf))).collect()
     assert sorted(registry.queries()["matched_counts"](spark, sf).collect()) == sorted(want)
