@@ -150,6 +150,14 @@ def slices(batch: pa.RecordBatch, weight: str | None, most: int = SLICE_BYTES) -
     yield batch.slice(start)
 
 
+def spread(df: DataFrame, key: str, n: int) -> DataFrame:
+    """``df`` dealt out by ``key``, which has ``n`` values of about equal work, so that few of them share a task.
+
+    Small groups by bytes would else be put together, however long their work.
+    """
+    return df.repartition(max(1, min(4 * n, max(n, 10_000))), key)
+
+
 def state_of(df: DataFrame) -> tuple:
     """Row count and order-free checksum, to see whether a table still changes."""
     return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64(*df.columns))).first())

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, sampled
+from .common import materialize, sampled, spread
 from .vectors import askers, first_copies, matrix, padded, ranked, valid
 
 #: Rows of a shard and queries of a group, about, at most.
@@ -198,7 +198,7 @@ class _Dealt:
                 }
             )
 
-        built = dealt.groupBy("part").applyInArrow(build, "part long, pivot int, tree binary, ids array<long>")
+        built = spread(dealt, "part", self.total).groupBy("part").applyInArrow(build, "part long, pivot int, tree binary, ids array<long>")
         self.trees = materialize(built, "trees")
 
 
@@ -232,7 +232,7 @@ def _searched(shards: DataFrame, n_shards: int, tasks: DataFrame, k: int) -> Dat
                 arrays = [pa.array(c, pa.int64()) for c in columns]
                 yield pa.RecordBatch.from_arrays(arrays, names=["rep", "vec_id", "score"])
 
-    return both.repartition(max(1, n_shards), "shard").sortWithinPartitions("shard", "kind").mapInArrow(over, _FOUND)
+    return spread(both, "shard", n_shards).sortWithinPartitions("shard", "kind").mapInArrow(over, _FOUND)
 
 
 def top_k(

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, spread
 from .vectors import askers, first_copies, matrix, padded, ranked, valid
 
 #: Distinct vectors of a shard, about, and queries that are searched together.
@@ -178,7 +178,7 @@ def nearest(
             {"shard": pa.array([rows.column("shard")[0].as_py()], pa.int64()), "data": pa.array([pickle.dumps(made, 5)])}
         )
 
-    shards = materialize(dealt.groupBy("shard").applyInArrow(build, "shard long, data binary"), "graphs")
+    shards = materialize(spread(dealt, "shard", n_shards).groupBy("shard").applyInArrow(build, "shard long, data binary"), "graphs")
     shards = shards.withColumn("kind", F.lit(0))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +202,7 @@ def nearest(
 
     # each shard's graph comes first in its task, then one block of queries after the other
     both = shards.select("shard", "kind", "data").unionByName(asking.select("shard", F.lit(1).alias("kind"), "data"))
-    both = both.repartition(n_shards, "shard").sortWithinPartitions("shard", "kind")
+    both = spread(both, "shard", n_shards).sortWithinPartitions("shard", "kind")
     found = both.mapInArrow(search, "rep long, vec_id long, score double")
     return ranked(found, asked, k, "score", best_first=False)
 
