@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -28,6 +29,23 @@ def holding(name: str, forget: Callable[[], object]) -> None:
         _holder.append((name, forget))
 
 
+@functools.cache
+def _libc():
+    import ctypes
+
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # not the GNU library: there is nothing to give back
+        return None
+
+
+def trim() -> None:
+    """Give memory that is free within this worker back to the machine; workers live on for later stages."""
+    pa.default_memory_pool().release_unused()
+    if _libc():
+        _libc()(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
@@ -95,7 +113,7 @@ def arrow_map(
                 for made in rows(columns):
                     arrays = [pa.array(made[f.name], f.type) for f in out]
                     yield pa.RecordBatch.from_arrays(arrays, schema=out)
-            pa.default_memory_pool().release_unused()
+            trim()
 
     return df.mapInArrow(over, schema)
 
@@ -123,7 +141,7 @@ def arrow_beside(
                 made = rows(part.column(at).cast(pa.binary()).to_pylist())
                 arrays = [*part.columns, *(pa.array(made[f.name], f.type) for f in arrow)]
                 yield pa.RecordBatch.from_arrays(arrays, names=whole.names)
-            pa.default_memory_pool().release_unused()
+            trim()
 
     return numbered.mapInArrow(over, whole)
 

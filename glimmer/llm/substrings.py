@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, discard, materialize
+from .common import arrow_map, discard, materialize, trim
 from .fmindex import FmIndex
 
 #: Words of a window, and of the groups whose least hash is a window's anchor.
@@ -306,6 +306,7 @@ def _search(rows: pa.Table, window: int) -> pa.Table:
         asked = own + later
         for i, smaller in zip(asked, _covered(index, [sequences[i] for i in asked], least[asked], window), strict=True):
             covered[i] |= smaller
+    trim()
     whole = [np.ones(len(c), bool) for c in covered]
     answers = [whole[w] if d > least[w] else covered[w] for w, d in zip(which.tolist(), doc.tolist(), strict=True)]
     return _spans(row, rows.column("starts").to_pylist(), answers, window)
