@@ -23,8 +23,10 @@ from .vectors import askers, first_copies, matrix, padded, ranked, valid
 SHARD_ROWS, GROUP_QUERIES = 8192, 1024
 #: Rows among which pivots are chosen, about, at most, and pivots.
 PIVOT_ROWS, PIVOTS = 4096, 16
-#: Rows of a leaf, of a data tree and of a query tree.
+#: Rows below which a node of a data tree and of a query tree is split on only where its rows lie in separate heaps.
 LEAF, QUERY_LEAF = 256, 64
+#: Rows that a heap should have, on the average.
+HEAP = 4
 #: Children of a node at most, and the share of a node's radius that its children should have.
 CHILDREN, SHRINK = 16, 0.5
 
@@ -48,7 +50,11 @@ def _net(points: np.ndarray, first: int, most: int, radius: float) -> tuple[list
 
 class CoverTree:
     """Nested balls: a node's center is the center of one of its children, children's centers are farther apart
-    than their radii, and every radius covers all rows below."""
+    than their radii, and every radius covers all rows below.
+
+    Large nodes are always split.  One of ``leaf`` rows or fewer is split as long as a few children reach the share
+    of its radius that they should have: then pruning can tell them apart, where elsewhere more nodes only cost time.
+    """
 
     def __init__(self, points: np.ndarray, ids: np.ndarray, leaf: int) -> None:
         order: list[np.ndarray] = []
@@ -69,11 +75,13 @@ class CoverTree:
             self.span.append((done, done + len(rows)))
             if parent >= 0:
                 self.children[parent].append(node)
-            if len(rows) <= leaf or radius == 0:
+            small = len(rows) <= leaf
+            most = max(1, min(CHILDREN, len(rows) // HEAP)) if small else CHILDREN
+            centers, nearest, away = _net(own, first, most, radius * SHRINK)
+            if radius == 0 or (small and away.max() > radius * SHRINK):
                 order.append(rows)
                 done += len(rows)
                 continue
-            centers, nearest, _ = _net(own, first, CHILDREN, radius * SHRINK)
             for i, c in enumerate(centers):
                 mine = np.flatnonzero(nearest == i)
                 stack.append((rows[mine], int(np.flatnonzero(mine == c)[0]), node))

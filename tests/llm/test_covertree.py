@@ -79,3 +79,23 @@ def test_tree_invariants_and_pruning():
         scores = tree.points @ q
         order = np.lexsort((tree.ids, -scores))[:3]
         assert rows == [(-int(scores[i]), int(tree.ids[i])) for i in order]
+
+
+def test_small_nodes_are_split_where_rows_lie_in_heaps():
+    rnd = np.random.default_rng(4)
+    centers = rnd.normal(size=(64, 64))
+    heaps = centers[rnd.integers(0, 64, 4096)] + 0.15 * rnd.normal(size=(4096, 64))
+    points = np.floor(64 * heaps / np.linalg.norm(heaps, axis=1)[:, None])
+    data, asks = CoverTree(points, np.arange(4096), 256), CoverTree(points[:1000], np.arange(1000), 64)
+    best = Best(1000, 5, np.full(1000, -np.inf))
+    dual_search(asks, data, best)
+    again = Best(1000, 5, best.floor)
+    leaves = [len([c for c in t.children if not c]) for t in (asks, data)]
+    assert dual_search(asks, data, again) < 0.2 * leaves[0] * leaves[1]
+    even = rnd.normal(size=(2048, 64))
+    even = np.floor(64 * even / np.linalg.norm(even, axis=1)[:, None])
+    assert len([c for c in CoverTree(even, np.arange(2048), 256).children if not c]) < 200  # nothing to tell apart there
+    for q, first, second in zip(asks.points, best.rows, again.rows, strict=True):
+        scores = data.points @ q
+        order = np.lexsort((data.ids, -scores))[:5]
+        assert first == second == [(-int(scores[i]), int(data.ids[i])) for i in order]
