@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glimmer.sources.shared import shared_path
+
 
 def pair_channels(*listings: DataFrame, key: str = "name") -> DataFrame:
     """``key, path_0, path_1 ...`` of the names that every listing ``name, path`` has."""
@@ -39,17 +41,32 @@ def shuffled_split(items: DataFrame, key: str, seed: int, ratio: int) -> DataFra
     return ranked.select(*items.columns, valid.alias("valid"))
 
 
-def fold_of(items: DataFrame, key: str, folds: int) -> DataFrame:
-    """Items with ``fold``: nearly equal runs of the key's order, the first ones longer by one.
+def numbered(items: DataFrame, order: list[str], place: str, total: str) -> DataFrame:
+    """Items with their ``place`` in the order, from 0, and the ``total`` of items.
 
-    Meant for lists of files: the order is taken in one task.
+    Ranges of the order are sorted side by side and written to the shared folder;
+    a prefix sum of their sizes, one row for each range, gives the places.
     """
-    n = items.agg(F.count("*").alias("_n"))
-    nth = items.withColumn("_r", F.row_number().over(Window.orderBy(key)) - 1).crossJoin(F.broadcast(n))
+    path = shared_path(items.sparkSession, "numbered")
+    at = F.monotonically_increasing_id()  # the range's number, and under 33 bits the place in it
+    items.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at).write.parquet(path)
+    rows = items.sparkSession.read.parquet(path)
+    rows = rows.withColumns({"_p": F.shiftright("_at", 33), "_r": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    sizes = rows.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")
+    bases = sizes.select("_p", base, F.sum("_n").over(Window.partitionBy(F.lit(0))).alias(total))
+    # as many rows as there are ranges
+    return rows.join(F.broadcast(bases), "_p").select(*items.columns, (F.col("_base") + F.col("_r")).alias(place), total)
+
+
+def fold_of(items: DataFrame, key: str, folds: int) -> DataFrame:
+    """Items with ``fold``: nearly equal runs of the key's order, the first ones longer by one."""
+    nth = numbered(items, [key], "_place", "_n")
     size, extra = F.expr(f"_n div {folds}"), F.col("_n") % folds
     edge = extra * (size + 1)
-    later = extra + F.floor(F.try_divide((F.col("_r") - edge).cast("double"), size.cast("double"))).cast("long")
-    fold = F.when(F.col("_r") < edge, F.floor(F.col("_r") / (size + 1)).cast("long")).otherwise(later)
+    later = extra + F.floor(F.try_divide((F.col("_place") - edge).cast("double"), size.cast("double"))).cast("long")
+    fold = F.when(F.col("_place") < edge, F.floor(F.col("_place") / (size + 1)).cast("long")).otherwise(later)
     return nth.select(*items.columns, fold.cast("long").alias("fold"))
 
 
@@ -70,8 +87,8 @@ def latest_run(runs: DataFrame, name: str = "name") -> DataFrame:
 
 
 def batches(items: DataFrame, order: list[str], size: int) -> DataFrame:
-    """Items with their batch, in order.  Meant for sample lists: the order is taken in one task."""
-    return items.withColumn("batch", F.expr(f"cast((row_number() over (order by {', '.join(order)}) - 1) div {size} as bigint)"))
+    """Items with their ``batch``: runs of ``size`` items in order, the last one as long as it comes."""
+    return numbered(items, order, "_place", "_n").select(*items.columns, F.expr(f"_place div {size}").alias("batch"))
 
 
 def epoch_order(items: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:

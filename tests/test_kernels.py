@@ -281,6 +281,21 @@ def test_splits(spark):
     assert sum(r.valid for r in sampling.shuffled_split(items, "k", 1, 5).collect()) == 4
     few = sampling.fold_of(items.limit(2), "k", 5)
     assert sorted(r.fold for r in few.collect()) == [0, 1]
+    assert sampling.fold_of(items.limit(0), "k", 5).count() == 0
+
+
+def test_places_over_many_ranges(spark):
+    items = spark.range(500).select((F.col("id") % 90).alias("a"), (-F.col("id")).alias("b")).repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        nth = sampling.numbered(items, ["a", "b"], "place", "n").collect()
+        cut = sampling.batches(items, ["a", "b"], 64).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = sorted((i % 90, -i) for i in range(500))
+    assert [(r.a, r.b) for r in sorted(nth, key=lambda r: r.place)] == want
+    assert sorted(r.place for r in nth) == list(range(500)) and {r.n for r in nth} == {500}
+    assert sorted((r.a, r.b, r.batch) for r in cut) == [(a, b, i // 64) for i, (a, b) in enumerate(want)]
 
 
 def test_generators_repeat(spark):
