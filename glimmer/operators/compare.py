@@ -7,41 +7,56 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glimmer.operators.rois import by_shape, of_regions
 
-def least_squares_traces(video: DataFrame, masks: DataFrame, value: str = "adu") -> DataFrame:
-    """``roi, frame, v``: the coefficients of the masks (0/1 columns) that explain each frame best.
 
-    The Gram matrix counts shared pixels and is as large as the number of regions
-    squared; frames are solved side by side.
+def least_squares_of_shapes(video: DataFrame, masks: DataFrame, value: str = "adu") -> tuple[DataFrame, DataFrame]:
+    """``roi, shape`` of every mask, and ``shape, frame, v``: the coefficient of each mask of that shape.
+
+    The coefficients are those of least norm: masks over the same pixels share
+    equally what their shape explains.  So the Gram matrix is that of the shapes,
+    each column weighted by the root of its number of masks; it counts shared
+    pixels and is as large as the number of shapes in one image squared, however
+    many masks there are.  Frames are solved side by side.
     """
-    a, b = masks.select(F.col("roi").alias("i"), "y", "x"), masks.select(F.col("roi").alias("j"), "y", "x")
-    gram = a.join(b, ["y", "x"]).groupBy("i", "j").agg(F.count("*").alias("n")).collect()  # regions of one image, squared
-    ids = sorted({r.i for r in gram})
-    place = {r: n for n, r in enumerate(ids)}
+    regions, shapes = by_shape(masks)
+    a, b = shapes.select(F.col("shape").alias("i"), F.col("n").alias("m"), "y", "x"), shapes.select(F.col("shape").alias("j"), "y", "x")
+    gram = a.join(b, ["y", "x"]).groupBy("i", "m", "j").agg(F.count("*").alias("n")).collect()  # shapes of one image, squared
+    weight = {bytes(r.i): r.m**0.5 for r in gram}
+    ids = sorted(weight)
+    place = {s: n for n, s in enumerate(ids)}
+    w = np.array([weight[s] for s in ids])
     g = np.zeros((len(ids), len(ids)))
     for r in gram:
-        g[place[r.i], place[r.j]] = r.n
-    inverse = np.linalg.pinv(g)
-    right = video.join(masks, ["y", "x"]).groupBy("frame", "roi").agg(F.sum(F.col(value).cast("double")).alias("s"))
-    packed = right.groupBy("frame").agg(F.collect_list(F.struct("roi", "s")).alias("r"))  # a row for each region
+        g[place[bytes(r.i)], place[bytes(r.j)]] = r.n
+    inverse = np.linalg.pinv(g * w * w[:, None], rcond=1e-15 * max(10, len(ids)), hermitian=True) * w / w[:, None]
+    right = video.join(shapes.select("shape", "y", "x"), ["y", "x"]).groupBy("frame", "shape").agg(F.sum(F.col(value).cast("double")).alias("s"))
+    packed = right.groupBy("frame").agg(F.collect_list(F.struct("shape", "s")).alias("r"))  # a row for each shape
 
     def solve(frames):
-        for f in frames:
-            rows = []
-            for frame, r in zip(f["frame"], f["r"], strict=True):
-                s = np.zeros(len(ids))
-                for x in r:
-                    s[place[x["roi"]]] = x["s"]
-                rows.append(pd.DataFrame({"roi": ids, "frame": frame, "v": inverse @ s}))
-            yield pd.concat(rows) if rows else pd.DataFrame({"roi": [], "frame": [], "v": []})
+        step = max(1, 1_000_000 // max(1, len(ids)))
+        for whole in frames:
+            for at in range(0, len(whole), step):
+                f = whole.iloc[at : at + step]
+                s = np.zeros((len(f), len(ids)))
+                for n, r in enumerate(f["r"]):
+                    for x in r:
+                        s[n, place[bytes(x["shape"])]] = x["s"]
+                yield pd.DataFrame({"shape": ids * len(f), "frame": np.repeat(f["frame"].to_numpy(), len(ids)), "v": (s @ inverse.T).ravel()})
 
-    return packed.mapInPandas(solve, "roi long, frame long, v double")
+    return regions, packed.mapInPandas(solve, "shape binary, frame long, v double")
+
+
+def least_squares_traces(video: DataFrame, masks: DataFrame, value: str = "adu") -> DataFrame:
+    """``roi, frame, v``: the coefficients of the masks (0/1 columns) that explain each frame best, those of least norm."""
+    regions, found = least_squares_of_shapes(video, masks, value)
+    return of_regions(found, regions)
 
 
-def peak_to_peak(traces: DataFrame) -> DataFrame:
+def peak_to_peak(traces: DataFrame, key: str = "roi") -> DataFrame:
     """Each trace over its range; null for a flat one."""
-    own = Window.partitionBy("roi")
-    return traces.select("roi", "frame", F.try_divide(F.col("v"), F.max("v").over(own) - F.min("v").over(own)).alias("v"))
+    own = Window.partitionBy(key)
+    return traces.select(key, "frame", F.try_divide(F.col("v"), F.max("v").over(own) - F.min("v").over(own)).alias("v"))
 
 
 def background_components(video: DataFrame, components: int, value: str = "adu") -> DataFrame:

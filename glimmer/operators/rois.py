@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 _PIXEL = ["y", "x"]
 
+#: Parts that the frames of a shape are dealt to when its regions get its values.
+_PARTS = 32
+
 
 def without_overlap(rois: DataFrame) -> DataFrame:
     """Only the pixels that lie in exactly one region."""
@@ -16,6 +19,33 @@ def without_overlap(rois: DataFrame) -> DataFrame:
     return rois.join(alone, _PIXEL, "left_semi").select("roi", "y", "x")
 
 
+def by_shape(rois: DataFrame, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """``keys, roi, shape`` of every region, and ``keys, shape, first, n, y, x`` of the distinct sets of pixels.
+
+    What depends on a region's pixels alone is the same for all regions over them,
+    so it needs computing once for a shape.  ``first`` is the smallest region of
+    a shape, ``n`` their number; pixels that stand twice in a region do so in its
+    shape.
+    """
+    k = list(keys)
+    each = rois.groupBy(*k, "roi").agg(F.array_sort(F.collect_list(F.struct(*_PIXEL))).alias("p"))
+    each = each.withColumn("shape", F.unhex(F.md5(F.col("p").cast("string").cast("binary"))))
+    shapes = each.groupBy(*k, "shape").agg(F.min("roi").alias("first"), F.count("*").alias("n"), F.first("p").alias("p"))
+    pixels = shapes.select(*k, "shape", "first", "n", F.explode("p").alias("p")).select(*k, "shape", "first", "n", "p.y", "p.x")
+    return each.select(*k, "roi", "shape"), pixels
+
+
+def of_regions(values: DataFrame, regions: DataFrame) -> DataFrame:
+    """``roi, frame, v`` of every region, from ``shape, frame, v`` of their shapes.
+
+    A shape's frames are dealt to parts, so that one with many regions doesn't
+    lie in one task.  Both sides grow with their tables: neither is broadcast.
+    """
+    dealt = values.withColumn("part", F.pmod(F.hash("frame"), F.lit(_PARTS)))
+    each = regions.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))))
+    return dealt.join(each.hint("merge"), ["shape", "part"]).select("roi", "frame", "v")
+
+
 def extract_traces(video: DataFrame, rois: DataFrame, value: str = "adu") -> DataFrame:
     """``roi, frame, v``: each region's mean in each frame.  A region without pixels has no rows.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glimmer.operators import compare, generators
+from glimmer.operators import compare, generators, rois
 from glimmer.plans.registry import query
 from glimmer.sources.views import SIDE, ev, frame_rows, trace, video
 
@@ -70,7 +70,8 @@ def synthetic_labels(spark, d):
 
 @query("lstsq_traces")
 def lstsq_traces(spark, d):
-    return _r(compare.least_squares_traces(video(spark, d), ev(spark, d)), "v", digits=4)
+    regions, found = compare.least_squares_of_shapes(video(spark, d), ev(spark, d))
+    return rois.of_regions(_r(found, "v", digits=4), regions)
 
 
 @query("peak_to_peak")
