@@ -76,7 +76,8 @@ def lstsq_traces(spark, d):
 
 @query("peak_to_peak")
 def peak_to_peak(spark, d):
-    return _r(compare.peak_to_peak(compare.least_squares_traces(video(spark, d), ev(spark, d))), "v", digits=4)
+    regions, found = compare.least_squares_of_shapes(video(spark, d), ev(spark, d))
+    return rois.of_regions(_r(compare.peak_to_peak(found, "shape"), "v", digits=4), regions)
 
 
 @query("background_svd")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from glimmer.operators import compare
+from glimmer.plans import registry
 
 #: 3 x 3 squares: every region stands at one of 12 corners; two of one corner have the same pixels.
 CORNERS = [(y, x) for y in range(0, 6, 2) for x in range(0, 6, 2)] + [(1, 1), (3, 2), (5, 5)]
@@ -49,3 +50,24 @@ def test_least_squares_of_many_regions(spark, film, monkeypatch):
 
 def test_least_squares_without_regions(spark, film):
     assert compare.least_squares_traces(film[1], squares(spark, 1).limit(0)).count() == 0
+
+
+def test_peak_to_peak_query_of_many_regions(spark, tmp_path, monkeypatch):
+    source = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{source}/embeddings.parquet").where("vec_id < 4").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.range(150).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    vectors = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{tmp_path}/embeddings.parquet").collect()}
+    frames = np.floor((np.stack([vectors[f] for f in range(4)]) + 1) * 1000)
+    mask = np.zeros((64, 150))
+    for r in range(150):
+        mask[[((r * 7 + 1) % 6 + i // 3) * 8 + r // 4 % 6 + i % 3 for i in range(9)], r] = 1
+    v = np.linalg.lstsq(mask, frames.T, rcond=1e-9)[0].T
+    want = v / (v.max(axis=0) - v.min(axis=0))
+    solved, pinv = [], np.linalg.pinv
+    monkeypatch.setattr(np.linalg, "pinv", lambda g, *a, **k: solved.append(g.shape) or pinv(g, *a, **k))
+    got = cells(registry.queries()["peak_to_peak"](spark, str(tmp_path)), 150)
+    monkeypatch.undo()
+    assert np.allclose(got, want, atol=6e-5)
+    assert solved and max(solved) <= (24, 24)  # suppliers stand at 24 corners
+    lstsq = cells(registry.queries()["lstsq_traces"](spark, str(tmp_path)), 150)
+    assert np.allclose(lstsq, v, atol=6e-5)
