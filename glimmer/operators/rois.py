@@ -49,9 +49,12 @@ def of_regions(values: DataFrame, regions: DataFrame) -> DataFrame:
 def extract_traces(video: DataFrame, rois: DataFrame, value: str = "adu") -> DataFrame:
     """``roi, frame, v``: each region's mean in each frame.  A region without pixels has no rows.
 
-    Spark broadcasts the regions if they are small and joins by sort otherwise.
+    Means are taken once for each shape.  Spark broadcasts the shapes if they are
+    small and joins by sort otherwise.
     """
-    return video.join(rois, _PIXEL).groupBy("roi", "frame").agg(F.avg(value).alias("v"))
+    regions, shapes = by_shape(rois)
+    means = video.join(shapes.select("shape", *_PIXEL), _PIXEL).groupBy("shape", "frame").agg(F.avg(value).alias("v"))
+    return of_regions(means, regions)
 
 
 def area_range(rois: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from glimmer.operators import compare
+from glimmer.operators import compare, matching, rois
 from glimmer.plans import registry
 
 #: 3 x 3 squares: every region stands at one of 12 corners; two of one corner have the same pixels.
@@ -71,3 +71,33 @@ def test_peak_to_peak_query_of_many_regions(spark, tmp_path, monkeypatch):
     assert solved and max(solved) <= (24, 24)  # suppliers stand at 24 corners
     lstsq = cells(registry.queries()["lstsq_traces"](spark, str(tmp_path)), 150)
     assert np.allclose(lstsq, v, atol=6e-5)
+
+
+def join_rows(df):
+    """What ``df.collect()`` gives, and the rows that each join of its plan made."""
+    found, rows = df.collect(), []
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if "Join" in name:
+            rows.append(node.metrics().apply("numOutputRows").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found, rows
+
+
+def test_traces_of_many_regions(spark, film):
+    twice = spark.createDataFrame([(150, 0, 0), (150, 0, 0), (150, 0, 1), (151, None, 3)], "roi long, y long, x long")
+    found, made = join_rows(rois.extract_traces(film[1], squares(spark, 150).unionByName(twice)))
+    got = {(r.frame, r.roi): r.v for r in found}
+    a, mask = film[0].reshape(4, 64), columns(150)
+    want = {(f, r): a[f][mask[:, r] > 0].mean() for f in range(4) for r in range(150)}
+    want |= {(f, 150): (2 * a[f, 0] + a[f, 1]) / 3 for f in range(4)}  # a pixel that stands twice counts twice
+    assert len(found) == len(got) and got == pytest.approx(want)
+    assert sum(made) <= 2 * len(found)  # not nine rows for each
