@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glimmer.functions.columns import ratio
+from glimmer.operators.rois import by_shape
 
 
 def iou_matrix(evaluated: DataFrame, reference: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -130,8 +131,13 @@ def iou_between(sets: DataFrame) -> DataFrame:
 
 
 def mutual_best(sets: DataFrame) -> DataFrame:
-    """Pairs of regions of two annotators that are each other's best; ties go to the smaller region number."""
-    pairs = iou_between(sets)
+    """Pairs of regions of two annotators that are each other's best; ties go to the smaller region number.
+
+    Of an annotator's regions over the same pixels only the smallest can be
+    anyone's best, so only these are held against each other.
+    """
+    shapes = by_shape(sets, ("annotator",))[1]
+    pairs = iou_between(shapes.select("annotator", F.col("first").alias("roi"), "y", "x"))
     order = Window.partitionBy("ref", "ref_roi", "tgt").orderBy(F.desc("iou"), "tgt_roi")
     best = pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
     back = best.toDF("tgt", "tgt_roi", "ref", "ref_roi", "back")

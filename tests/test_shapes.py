@@ -101,3 +101,32 @@ def test_traces_of_many_regions(spark, film):
     want |= {(f, 150): (2 * a[f, 0] + a[f, 1]) / 3 for f in range(4)}  # a pixel that stands twice counts twice
     assert len(found) == len(got) and got == pytest.approx(want)
     assert sum(made) <= 2 * len(found)  # not nine rows for each
+
+
+def three_annotators(spark):
+    """120 regions of one annotator over 12 corners, in descending order of number; seven of the next; two of the last."""
+    rows = [(0, 500 - r, y, x) for r, y, x in squares(spark, 120).collect()]
+    rows += [(1, r, y + r // 4, x) for r, y, x in squares(spark, 7).collect()]
+    rows += [(2, 7 * r, y, x) for r, y, x in squares(spark, 2).collect()]
+    rows += [(2, 30, 0, 0), (2, 30, 0, 0), (2, 30, 4, 4)]  # a pixel that stands twice
+    return spark.createDataFrame(rows, "annotator int, roi long, y long, x long"), rows
+
+
+def slow_best(rows):
+    sets = {}
+    for a, r, y, x in rows:
+        sets.setdefault((a, r), []).append((y, x))
+    best = {}
+    for (a, r), p in sets.items():
+        for (b, s), q in sets.items():
+            both = sum(p.count(c) * q.count(c) for c in set(p))
+            if a != b and both:
+                best[a, r, b] = max(best.get((a, r, b), (-1, 0)), (both / (len(p) + len(q) - both), -s))
+    return {(a, r, b, -s, iou) for (a, r, b), (iou, s) in best.items() if -best[b, -s, a][1] == r}, sets
+
+
+def test_mutual_best_of_many_regions(spark):
+    sets, rows = three_annotators(spark)
+    found, made = join_rows(matching.mutual_best(sets))
+    assert {tuple(r) for r in found} == slow_best(rows)[0] and len(found) == len(set(found)) > 4
+    assert max(made) <= 600
