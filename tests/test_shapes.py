@@ -130,3 +130,17 @@ def test_mutual_best_of_many_regions(spark):
     found, made = join_rows(matching.mutual_best(sets))
     assert {tuple(r) for r in found} == slow_best(rows)[0] and len(found) == len(set(found)) > 4
     assert max(made) <= 600
+
+
+def test_majority_of_many_regions(spark):
+    df, rows = three_annotators(spark)
+    best, sets = slow_best(rows)
+    want = set()
+    for key in sets:
+        members = sorted([key, *((b, s) for a, r, b, s, _ in best if (a, r) == key)])
+        if len(members) * 2 > 3:
+            pixels = [c for m in members for c in sets[m]]
+            want |= {(",".join(f"{a}:{r}" for a, r in members), *c) for c in pixels if pixels.count(c) * 2 > len(members)}
+    found, made = join_rows(matching.majority_vote(df))
+    assert {tuple(r) for r in found} == want and len(found) == len(want) > 9
+    assert max(made) <= 600
