@@ -11,10 +11,16 @@ from glimmer.sources.views import table, voxels
 from glimmer.streaming import segments
 
 
+def _stream(spark, d, name):
+    """A table, be it a file or a folder of files, as a stream of files.
+
+    The path is a pattern, since a stream takes a plain path for a folder.
+    """
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+
+
 def _events(spark, d):
-    """The events file as a stream of files."""
-    schema = table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return _stream(spark, d, "events")
 
 
 def _text(column):
@@ -56,11 +62,9 @@ def stream_running_median(spark, d):
 @query("stream_scoring", """SELECT vec_id AS frame, (i-1)//8 AS y, (i-1)%8 AS x, round(CAST(floor((CAST(embedding[i] AS DOUBLE)+1)*1000) AS BIGINT) / avg(CAST(floor((CAST(embedding[i] AS DOUBLE)+1)*1000) AS BIGINT)) OVER (PARTITION BY vec_id), 6) AS v
     FROM embeddings, unnest(range(1,65)) AS u(i)""")
 def stream_scoring(spark, d):
-    schema = table(spark, d, "embeddings").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(d)
     path = shared_path(spark, "scoring")
 
-    segments.score_batches(stream, path, lambda batch: frames.equalize_frames(voxels(batch)))
+    segments.score_batches(_stream(spark, d, "embeddings"), path, lambda batch: frames.equalize_frames(voxels(batch)))
     out = spark.read.schema("frame long, y long, x long, v double").parquet(f"{path}/table")
     return out.select("frame", "y", "x", F.round("v", 6).alias("v"))
 
