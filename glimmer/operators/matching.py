@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glimmer.functions.columns import ratio
-from glimmer.operators.rois import by_shape
 
 
 def iou_matrix(evaluated: DataFrame, reference: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -120,46 +119,63 @@ def histogram(values: DataFrame, column: str, bins: int) -> DataFrame:
     return values.groupBy(place.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def _by_region(sets: DataFrame) -> DataFrame:
+    """Numbered regions' pixels, dealt by region: one shuffle that serves whatever takes a region's pixels together."""
+    return sets.where("annotator IS NOT NULL AND roi IS NOT NULL").repartition("annotator", "roi")
+
+
+def _smallest(sets: DataFrame) -> DataFrame:
+    """``annotator, roi, area, y, x`` of each annotator's distinct sets of pixels, as the smallest region over each."""
+    each = _by_region(sets).groupBy("annotator", "roi").agg(F.array_sort(F.collect_list(F.struct("y", "x"))).alias("p"))
+    first = each.groupBy("annotator", "p").agg(F.min("roi").alias("roi"))
+    return first.select("annotator", "roi", F.size("p").alias("area"), F.inline("p"))
+
+
 def iou_between(sets: DataFrame) -> DataFrame:
-    """``ref, ref_roi, tgt, tgt_roi, iou`` of the overlapping regions of different annotators of ``annotator, roi, y, x``."""
-    areas = sets.groupBy("annotator", "roi").agg(F.count("*").alias("n"))
-    a = sets.select(F.col("annotator").alias("ref"), F.col("roi").alias("ref_roi"), "y", "x")
-    b = sets.select(F.col("annotator").alias("tgt"), F.col("roi").alias("tgt_roi"), "y", "x")
-    both = a.join(b, ["y", "x"]).where("ref <> tgt").groupBy("ref", "ref_roi", "tgt", "tgt_roi").agg(F.count("*").alias("i"))
-    both = both.join(areas.toDF("ref", "ref_roi", "na"), ["ref", "ref_roi"]).join(areas.toDF("tgt", "tgt_roi", "nb"), ["tgt", "tgt_roi"])
-    return both.select("ref", "ref_roi", "tgt", "tgt_roi", (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("iou"))
+    """``ref, ref_roi, tgt, tgt_roi, iou`` of the overlapping regions of different annotators of ``annotator, roi, area, y, x``.
+
+    Each pair stands once, the smaller annotator first.  The pixels grow with
+    their tables, whatever Spark takes their size for: neither side is broadcast.
+    """
+    side = lambda s: [F.col("annotator").alias(s), F.col("roi").alias(f"{s}_roi"), F.col("area").alias(f"{s}_area")]
+    a, b = sets.select(*side("ref"), "y", "x"), sets.select(*side("tgt"), "y", "x")
+    both = a.join(b.hint("merge"), ["y", "x"]).where("ref < tgt")
+    both = both.groupBy("ref", "ref_roi", "ref_area", "tgt", "tgt_roi", "tgt_area").agg(F.count("*").alias("i"))
+    iou = F.col("i") / (F.col("ref_area") + F.col("tgt_area") - F.col("i"))
+    return both.select("ref", "ref_roi", "tgt", "tgt_roi", iou.alias("iou"))
 
 
 def mutual_best(sets: DataFrame) -> DataFrame:
     """Pairs of regions of two annotators that are each other's best; ties go to the smaller region number.
 
     Of an annotator's regions over the same pixels only the smallest can be
-    anyone's best, so only these are held against each other.
+    anyone's best, so only these are held against each other.  An IoU is the same
+    from both sides, so a pair is placed among both regions' and turned at the end.
     """
-    shapes = by_shape(sets, ("annotator",))[1]
-    pairs = iou_between(shapes.select("annotator", F.col("first").alias("roi"), "y", "x"))
-    order = Window.partitionBy("ref", "ref_roi", "tgt").orderBy(F.desc("iou"), "tgt_roi")
-    best = pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    back = best.toDF("tgt", "tgt_roi", "ref", "ref_roi", "back")
-    both = best.join(back, ["ref", "ref_roi", "tgt", "tgt_roi"]).where("iou = back")
-    return both.select("ref", "ref_roi", "tgt", "tgt_roi", "iou")
+    pairs = iou_between(_smallest(sets))
+
+    def place(of: str, among: str) -> Column:
+        return F.row_number().over(Window.partitionBy(of, f"{of}_roi", among).orderBy(F.desc("iou"), f"{among}_roi"))
+
+    best = pairs.withColumns({"_a": place("ref", "tgt"), "_b": place("tgt", "ref")}).where("_a = 1 AND _b = 1")
+    turned = F.struct(F.col("tgt").alias("ref"), F.col("tgt_roi").alias("ref_roi"), F.col("ref").alias("tgt"), F.col("ref_roi").alias("tgt_roi"), "iou")
+    return best.select(F.inline(F.array(F.struct("ref", "ref_roi", "tgt", "tgt_roi", "iou"), turned)))
 
 
 def majority_sets(sets: DataFrame) -> DataFrame:
     """``members``: distinct sets of regions, one of each annotator at most, that more than half of the annotators share.
 
     A set is a region with its mutual best matches, as an array in annotator order.
+    A region without any is more than half of the annotators only where there is
+    one annotator, so all regions are gone through in that case alone.
     """
-    n = sets.select("annotator").distinct().agg(F.count("*").alias("_n"))
-    own = sets.select("annotator", "roi").distinct()
-    mutual = mutual_best(sets)
+    n = F.broadcast(sets.select("annotator").distinct().agg(F.count("*").alias("_n")))
     member = F.struct(F.col("tgt").alias("annotator"), F.col("tgt_roi").alias("roi"))
-    partners = mutual.groupBy(F.col("ref").alias("annotator"), F.col("ref_roi").alias("roi")).agg(F.collect_set(member).alias("p"))
+    matches = mutual_best(sets).groupBy(F.col("ref").alias("annotator"), F.col("ref_roi").alias("roi")).agg(F.collect_set(member).alias("p"))
     itself = F.array(F.struct("annotator", "roi"))
-    alone = F.coalesce("p", F.filter(itself, lambda m: F.lit(False)))  # a region that nobody else has
-    with_own = own.join(partners, ["annotator", "roi"], "left").select(F.array_sort(F.concat(itself, alone)).alias("members"))
-    with_n = with_own.crossJoin(F.broadcast(n)).where(F.size("members") * 2 > F.col("_n"))
-    return with_n.select("members").distinct()
+    matched = matches.select(F.array_sort(F.concat(itself, "p")).alias("members")).join(n, F.size("members") * 2 > F.col("_n"))
+    alone = sets.select("annotator", "roi").join(n, F.col("_n") == 1).select(itself.alias("members"))
+    return matched.select("members").unionByName(alone).distinct()
 
 
 def majority_vote(sets: DataFrame) -> DataFrame:
@@ -171,7 +187,7 @@ def majority_vote(sets: DataFrame) -> DataFrame:
     text = F.concat_ws(",", F.transform("members", lambda m: F.concat_ws(":", m["annotator"].cast("string"), m["roi"].cast("string"))))
     found = found.select(text.alias("consensus"), F.size("members").alias("_n"), F.explode("members").alias("m"))
     found = found.select("consensus", "_n", "m.annotator", "m.roi")
-    votes = found.join(sets, ["annotator", "roi"]).groupBy("consensus", "_n", "y", "x").agg(F.count("*").alias("v"))
+    votes = found.join(_by_region(sets).hint("merge"), ["annotator", "roi"]).groupBy("consensus", "_n", "y", "x").agg(F.count("*").alias("v"))
     return votes.where("v * 2 > _n").select("consensus", "y", "x")
 
 

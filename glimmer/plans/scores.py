@@ -91,7 +91,7 @@ def annotators(spark, d):
     """Three annotators' regions: both sets, and the reference one column further right."""
     a = ev(spark, d).withColumn("annotator", F.lit(0))
     b = gt(spark, d).withColumn("annotator", F.lit(1))
-    c = gt(spark, d).withColumn("x", F.col("x") + 1).withColumn("annotator", F.lit(2))
+    c = b.withColumns({"x": F.col("x") + 1, "annotator": F.lit(2)})
     return a.unionByName(b).unionByName(c).select("annotator", "roi", "y", "x")
 
 

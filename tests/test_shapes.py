@@ -144,3 +144,48 @@ def test_majority_of_many_regions(spark):
     found, made = join_rows(matching.majority_vote(df))
     assert {tuple(r) for r in found} == want and len(found) == len(want) > 9
     assert max(made) <= 600
+
+
+def test_majority_reads_pixels_once(spark):
+    df = matching.majority_vote(three_annotators(spark)[0])
+    df.collect()
+    leaves, sent = [], []
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if name == "BroadcastExchangeExec":
+            sent.append(node.metrics().apply("numOutputRows").value())
+        if node.children().size() == 0 and name != "ReusedExchangeExec":
+            leaves.append(name)
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    assert len(leaves) <= 2  # pixels once, annotators once
+    assert sent and max(sent) == 1  # the number of annotators; pixels grow with their tables
+
+
+def test_majority_of_several_annotators(spark):
+    rnd = np.random.default_rng(6)
+    for annotators in (1, 2, 4):
+        rows = []
+        for a in range(annotators):
+            for r in range(12):
+                y, x = (int(v) for v in rnd.integers(0, 9, 2))
+                rows += [(a, r, y + i // 3, x + i % 3) for i in range(int(rnd.integers(4, 10)))]
+        rows += [(0, None, 0, 0), (0, 20, None, 0)]  # a region without number, a pixel without place
+        best, sets = slow_best([r for r in rows if None not in r[1:]] + [(0, 20, -1, -1)])
+        want = set()
+        for key in sets:
+            members = sorted([key, *((b, s) for a, r, b, s, _ in best if (a, r) == key)])
+            if len(members) * 2 > annotators:
+                pixels = [c for m in members for c in sets[m]]
+                want |= {(",".join(f"{a}:{r}" for a, r in members), *c) for c in pixels if pixels.count(c) * 2 > len(members)}
+        want = {(c, None, 0) if y == -1 else (c, y, x) for c, y, x in want}
+        df = spark.createDataFrame(rows, "annotator int, roi long, y long, x long")
+        found = [tuple(r) for r in matching.majority_vote(df).collect()]
+        assert set(found) == want and len(found) == len(want) > 9
