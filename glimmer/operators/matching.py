@@ -126,7 +126,7 @@ def _by_region(sets: DataFrame) -> DataFrame:
 
 def _smallest(sets: DataFrame) -> DataFrame:
     """``annotator, roi, area, y, x`` of each annotator's distinct sets of pixels, as the smallest region over each."""
-    each = _by_region(sets).groupBy("annotator", "roi").agg(F.array_sort(F.collect_list(F.struct("y", "x"))).alias("p"))
+    each = _by_region(sets).groupBy("annotator", "roi").agg(F.sort_array(F.collect_list(F.struct("y", "x"))).alias("p"))
     first = each.groupBy("annotator", "p").agg(F.min("roi").alias("roi"))
     return first.select("annotator", "roi", F.size("p").alias("area"), F.inline("p"))
 
@@ -162,6 +162,19 @@ def mutual_best(sets: DataFrame) -> DataFrame:
     return best.select(F.inline(F.array(F.struct("ref", "ref_roi", "tgt", "tgt_roi", "iou"), turned)))
 
 
+def _counted(sets: DataFrame) -> DataFrame:
+    """``_n``: the number of annotators, as one row."""
+    return F.broadcast(sets.select("annotator").distinct().agg(F.count("*").alias("_n")))
+
+
+def _matched(sets: DataFrame) -> DataFrame:
+    """``members``: each region with its mutual best matches, in annotator order, where that is more than half of the annotators."""
+    member = F.struct(F.col("tgt").alias("annotator"), F.col("tgt_roi").alias("roi"))
+    matches = mutual_best(sets).groupBy(F.col("ref").alias("annotator"), F.col("ref_roi").alias("roi")).agg(F.collect_set(member).alias("p"))
+    members = F.array_sort(F.concat(F.array(F.struct("annotator", "roi")), "p"))
+    return matches.select(members.alias("members")).join(_counted(sets), F.size("members") * 2 > F.col("_n")).select("members")
+
+
 def majority_sets(sets: DataFrame) -> DataFrame:
     """``members``: distinct sets of regions, one of each annotator at most, that more than half of the annotators share.
 
@@ -169,26 +182,29 @@ def majority_sets(sets: DataFrame) -> DataFrame:
     A region without any is more than half of the annotators only where there is
     one annotator, so all regions are gone through in that case alone.
     """
-    n = F.broadcast(sets.select("annotator").distinct().agg(F.count("*").alias("_n")))
-    member = F.struct(F.col("tgt").alias("annotator"), F.col("tgt_roi").alias("roi"))
-    matches = mutual_best(sets).groupBy(F.col("ref").alias("annotator"), F.col("ref_roi").alias("roi")).agg(F.collect_set(member).alias("p"))
-    itself = F.array(F.struct("annotator", "roi"))
-    matched = matches.select(F.array_sort(F.concat(itself, "p")).alias("members")).join(n, F.size("members") * 2 > F.col("_n"))
-    alone = sets.select("annotator", "roi").join(n, F.col("_n") == 1).select(itself.alias("members"))
-    return matched.select("members").unionByName(alone).distinct()
+    alone = sets.select("annotator", "roi").join(_counted(sets), F.col("_n") == 1)
+    return _matched(sets).unionByName(alone.select(F.array(F.struct("annotator", "roi")).alias("members"))).distinct()
+
+
+def _name(annotator: Column, roi: Column) -> Column:
+    return F.concat_ws(":", annotator.cast("string"), roi.cast("string"))
 
 
 def majority_vote(sets: DataFrame) -> DataFrame:
     """``consensus, y, x``: of each majority set the pixels that more than half of its members cover.
 
-    Consensus regions are numbered by their member lists.
+    Consensus regions are numbered by their member lists.  A set is found from
+    several of its members; its copies meet where its members meet their pixels.
+    Members are the smallest regions over their pixels, so only those vote; the
+    regions of a single annotator are each a set of their own.
     """
-    found = majority_sets(sets)
-    text = F.concat_ws(",", F.transform("members", lambda m: F.concat_ws(":", m["annotator"].cast("string"), m["roi"].cast("string"))))
-    found = found.select(text.alias("consensus"), F.size("members").alias("_n"), F.explode("members").alias("m"))
-    found = found.select("consensus", "_n", "m.annotator", "m.roi")
-    votes = found.join(_by_region(sets).hint("merge"), ["annotator", "roi"]).groupBy("consensus", "_n", "y", "x").agg(F.count("*").alias("v"))
-    return votes.where("v * 2 > _n").select("consensus", "y", "x")
+    text = F.concat_ws(",", F.transform("members", lambda m: _name(m["annotator"], m["roi"])))
+    found = _matched(sets).select(text.alias("consensus"), F.size("members").alias("_n"), F.inline("members"))
+    found = found.repartition("annotator", "roi").distinct()
+    votes = found.join(_smallest(sets).hint("merge"), ["annotator", "roi"]).groupBy("consensus", "_n", "y", "x").agg(F.count("*").alias("v"))
+    alone = sets.where("annotator IS NOT NULL AND roi IS NOT NULL").join(_counted(sets), F.col("_n") == 1)
+    alone = alone.select(_name(F.col("annotator"), F.col("roi")).alias("consensus"), "y", "x").distinct()
+    return votes.where("v * 2 > _n").select("consensus", "y", "x").unionByName(alone)
 
 
 def stage_times(runs: DataFrame, stages: list[int]) -> DataFrame:

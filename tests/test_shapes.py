@@ -189,3 +189,27 @@ def test_majority_of_several_annotators(spark):
         df = spark.createDataFrame(rows, "annotator int, roi long, y long, x long")
         found = [tuple(r) for r in matching.majority_vote(df).collect()]
         assert set(found) == want and len(found) == len(want) > 9
+
+
+def test_majority_votes_by_distinct_sets(spark):
+    sets, rows = three_annotators(spark)
+    df = matching.majority_vote(sets)
+    found = df.collect()
+    uses = []
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name == "ShuffleQueryStageExec":
+            dealt = node.plan().child() if node.plan().getClass().getSimpleName() == "ReusedExchangeExec" else node.plan()
+            uses.append(dealt.metrics().apply("shuffleRecordsWritten").value())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    assert sum(n >= len(rows) for n in uses) == 1  # all pixels are read for their distinct sets, not again for the votes
+    named = {",".join(f"{m.annotator}:{m.roi}" for m in r.members) for r in matching.majority_sets(sets).collect()}
+    assert {r.consensus for r in found} <= named
